@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, each beside its oracle."""
-from contract import incidents
+from contract import incidents, perception
 
-REGISTRIES = [incidents.R]
+REGISTRIES = [incidents.R, perception.R]

@@ -36,6 +36,17 @@ def slice_no(ts: Column, width: float) -> Column:
     return F.floor(ts / F.lit(float(width))).cast("long")
 
 
+def micros(ts: str) -> Column:
+    """Seconds as whole microseconds, for range frames."""
+    return F.round(F.col(ts) * 1_000_000).cast("long")
+
+
+def within(keys: Sequence[str], ts: str, lo: float | None, hi: float) -> Window:
+    """A window over one key and slice whose frame spans ``[ts + lo, ts + hi]`` seconds."""
+    start = Window.unboundedPreceding if lo is None else round(lo * 1_000_000)
+    return Window.partitionBy(*keys, SLICE).orderBy(micros(ts)).rangeBetween(start, round(hi * 1_000_000))
+
+
 def sliced(df: DataFrame, ts: str, width: float, back: float = 0.0, ahead: float = 0.0) -> DataFrame:
     """Copy each row into every slice whose rows may need to see it.
 
@@ -290,6 +301,9 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, width: float, warmup
                 state = json.loads(ended)
         return pd.DataFrame(redo, columns=[*keys, SLICE, "_entry"])
 
+    def rerun(rnd: int):
+        return lambda key, pdf: run(pdf.drop(columns="_e"), pdf["_e"].iloc[0], key[:-1], int(key[-1]), rnd)
+
     for rnd in range(1, max_rounds):
         ends = newest(parts, keys).filter(F.col("_in").isNotNull()).select(*keys, SLICE, "_in", "_out", "_summary")
         redo = materialise(ends.groupBy(*keys).applyInPandas(resolve, plan_schema), "redo")
@@ -297,8 +311,7 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, width: float, warmup
             break
         again = (rows.filter(HOME).join(redo.withColumnRenamed("_entry", "_e"), [*keys, SLICE])
                  .groupBy(*keys, SLICE)
-                 .applyInPandas(lambda key, pdf, rnd=rnd: run(pdf.drop(columns="_e"), pdf["_e"].iloc[0],
-                                                              key[:-1], int(key[-1]), rnd), packed))
+                 .applyInPandas(rerun(rnd), packed))
         parts.append(materialise(again, "scan"))
     else:
         raise RuntimeError("carry_scan did not settle")
