@@ -204,7 +204,8 @@ dw AS (SELECT source, track_id, t, k, cx AS ax, cy AS ay, t AS since FROM o WHER
 R.query("track_dwell", with_views("WITH " + DWELL_SQL + " SELECT source, track_id, t, since AS anchor_t, t - since AS dwell FROM dw", "det", recursive=True))(
     lambda T: tr.track_dwell(points(T)).select("source", "track_id", "t", "anchor_t", "dwell"))
 R.query("loitering", with_views("WITH " + DWELL_SQL.replace("FROM det)", "FROM det WHERE cls = 'person')") + """
-SELECT source, track_id, min(t) AS t, 'loitering' AS type FROM dw WHERE t - since >= 20 GROUP BY source, track_id, since""", "det", recursive=True))(
+SELECT source, track_id, min(t) AS t, 'loitering' AS type FROM dw d WHERE t - since >= 20 AND NOT EXISTS (SELECT 1 FROM o WHERE o.source = d.source AND o.track_id = d.track_id
+  AND o.k BETWEEN d.k - 59 AND d.k AND sqrt(power(o.cx - d.ax, 2) + power(o.cy - d.ay, 2)) / sqrt(1280.0 * 1280 + 720.0 * 720) > 0.06) GROUP BY source, track_id, since""", "det", recursive=True))(
     lambda T: tr.loitering(points(T), DEFAULTS.patched(loiter_s=20.0)).select(
         "source", F.col("evidence")["track_id"].cast("long").alias("track_id"), "t", "type"))
 R.query("unattended", with_views("WITH " + DWELL_SQL.replace("FROM det)", "FROM det WHERE cls = 'backpack')") + """,

@@ -138,7 +138,8 @@ def class_group(cls: Column) -> Column:
 
 
 def round_score(score: Column) -> Column:
-    return F.round(clamp(score, 0.0, 1.0), 3)
+    """Three places, ties up; the tiny offset keeps floating-point noise from deciding a tie."""
+    return F.round(clamp(score, 0.0, 1.0) + F.lit(1e-9), 3)
 
 
 # ── vectors ──────────────────────────────────────────────────────────────────
