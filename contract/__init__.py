@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, each beside its oracle."""
-from contract import incidents, perception
+from contract import data, incidents, perception, text
 
-REGISTRIES = [incidents.R, perception.R]
+REGISTRIES = [incidents.R, perception.R, text.R, data.R]

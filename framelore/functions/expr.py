@@ -15,6 +15,11 @@ def box(alias: str | None = None) -> tuple[Column, Column, Column, Column]:
     return tuple(F.col(p + c) for c in BOX)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end (``trim`` alone takes spaces only)."""
+    return F.btrim(text, F.lit(" \t\n\r"))
+
+
 def clamp(v: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), v))
 

@@ -22,8 +22,8 @@ def screened_text(text: Column, parity: bool = False) -> Column:
     """
     answer = F.regexp_extract(text, dims.INCIDENT_LINE, 1)
     has = matches(text, dims.INCIDENT_LINE)
-    none = matches(F.trim(answer), dims.NO_INCIDENT_LOOSE if parity else dims.NO_INCIDENT)
-    return F.when(has & none, F.lit(None).cast("string")).when(has, F.lower(F.trim(answer))).otherwise(F.lower(text))
+    none = matches(expr.strip(answer), dims.NO_INCIDENT_LOOSE if parity else dims.NO_INCIDENT)
+    return F.when(has & none, F.lit(None).cast("string")).when(has, F.lower(expr.strip(answer))).otherwise(F.lower(text))
 
 
 def negated(before: Column, parity: bool = False) -> Column:
@@ -101,7 +101,7 @@ def caption_events(captions: DataFrame, sig: DataFrame, cfg: RuleConfig = DEFAUL
 
 def format_verdict(text: Column) -> Column:
     """flagged / none / malformed, from the ``INCIDENT:`` line."""
-    answer = F.trim(F.regexp_extract(text, dims.INCIDENT_LINE, 1))
+    answer = expr.strip(F.regexp_extract(text, dims.INCIDENT_LINE, 1))
     return (F.when(~matches(text, dims.INCIDENT_LINE), "malformed").when(matches(answer, dims.NO_INCIDENT), "none").otherwise("flagged"))
 
 
@@ -134,7 +134,7 @@ def verification(text: Column) -> Column:
 
     A bare yes, a restated question or a long comment confirms nothing.
     """
-    t = F.trim(text)
+    t = expr.strip(text)
     rest = F.regexp_extract(t, dims.VERIFY_YES + "(.*)", 1)
     said = F.when(rest == "", t).otherwise(rest)
     item = lambda c: F.nullif(F.lower(F.regexp_extract(c, dims.VERIFY_ITEMS, 0)), F.lit(""))
@@ -168,7 +168,7 @@ def verify_events(events: DataFrame, answers: DataFrame, cap: int = 30) -> DataF
 
 def yes_no(text: Column) -> Column:
     """1.0, 0.0 or null for an answer that is contradictory, hedged or neither."""
-    t = F.trim(text)
+    t = expr.strip(text)
     yes, no = matches(t, dims.ANSWER_YES), matches(t, dims.ANSWER_NO)
     head = F.lower(F.regexp_extract(t, dims.ANSWER_HEAD, 1))
     return (F.when(t.isNull() | (t == "") | (yes & no), F.lit(None).cast("double"))

@@ -11,6 +11,7 @@ from framelore import dims
 from framelore.functions import expr
 from framelore.operators import slices
 from framelore.operators.frames import draw
+from framelore.session import materialise
 
 
 # ── labels and spans ─────────────────────────────────────────────────────────
@@ -168,6 +169,7 @@ def rank_windows(samples: DataFrame, window_s: float = 4.0, stride_s: float = 1.
 def merge_windows(windows: DataFrame, gap_s: float = 0.5, max_span: float = 12.0, slice_s: float = 3600.0) -> DataFrame:
     """Join overlapping windows into spans of at most ``max_span`` seconds, per source, in time order."""
     cols = ["source", "start", "end", "score", "people_max"]
+    windows = materialise(windows, "windows")
     schema = T.StructType([windows.schema[c] for c in ("source", "start")] + [T.StructField("span_start", T.DoubleType())])
 
     def fold(pdf: pd.DataFrame, span):
@@ -188,6 +190,7 @@ def merge_windows(windows: DataFrame, gap_s: float = 0.5, max_span: float = 12.0
 
 def pick_candidates(windows: DataFrame, pct: float = 90.0, top: int = 15, normals: int = 8, max_span: float = 12.0, bin_width: float = 0.1) -> DataFrame:
     """The best spans of each source to look at, and quiet spans with people as ready-made negatives."""
+    windows = materialise(windows, "windows")
     cut = slices.quantile_at(windows, ["source"], "score", {"cutoff": pct / 100.0}, bin_width)
     w = windows.join(cut, "source")
     strong = merge_windows(w.filter(F.col("score") >= F.col("cutoff")).drop("cutoff"), max_span=max_span)

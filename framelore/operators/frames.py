@@ -197,7 +197,7 @@ def select_top_persons(poses: DataFrame, m: int = 2, by: Column | None = None) -
     w = Window.partitionBy(*FRAME).orderBy(F.desc("_s"), "person_idx")
     top = poses.withColumn("_s", score).withColumn("slot", F.row_number().over(w)).filter(F.col("slot") <= m)
     slots = poses.select(*FRAME).distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(m))))
-    zero = F.array_repeat(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("c")), 17)
+    zero = F.transform(F.sequence(F.lit(1), F.lit(17)), lambda _: F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("c")))
     return (slots.join(top.select(*FRAME, "slot", "person_idx", "keypoints"), [*FRAME, "slot"], "left")
             .withColumn("keypoints", F.coalesce("keypoints", zero)))
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from framelore.functions import expr
 from framelore.operators.slices import running_total
 
 IMAGE = "<image>"
@@ -50,8 +51,7 @@ def quarantine(turns: DataFrame) -> DataFrame:
 
 def place_image_token(value: Column, wrap: tuple[str, str] | None = None) -> Column:
     """Move the image token to the front of its turn, optionally between start and end tokens."""
-    moved = F.trim(F.concat(F.lit(IMAGE + "\n"), F.trim(F.replace(value, F.lit(IMAGE), F.lit("")))))
-    moved = F.regexp_replace(F.regexp_replace(moved, r"^\s+", ""), r"\s+$", "")
+    moved = expr.strip(F.concat(F.lit(IMAGE + "\n"), expr.strip(F.replace(value, F.lit(IMAGE), F.lit("")))))
     out = F.when(value.contains(IMAGE), moved).otherwise(value)
     return F.replace(out, F.lit(IMAGE), F.lit(wrap[0] + IMAGE + wrap[1])) if wrap else out
 
