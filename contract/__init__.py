@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, each beside its oracle."""
-from contract import data, incidents, perception, text
+from contract import data, incidents, people, perception, text
 
-REGISTRIES = [incidents.R, perception.R, text.R, data.R]
+REGISTRIES = [incidents.R, perception.R, text.R, data.R, people.R]

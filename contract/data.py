@@ -295,7 +295,7 @@ R.query("sweep_negatives", with_views(f"""
 WITH s AS (SELECT source * 1000000 + frame_no AS frame_id, cls AS class_id, confidence AS score FROM det WHERE cls IN ('knife', 'chair')), th(threshold) AS (VALUES {TH}),
 n AS (SELECT count(DISTINCT source * 1000000 + frame_no) AS frames FROM det), h AS (SELECT * FROM th JOIN s ON score >= threshold),
 a AS (SELECT threshold, count(DISTINCT frame_id) AS frames_hit, count(*) AS detections FROM h GROUP BY threshold),
-w AS (SELECT threshold, class_id, count(*) AS c, row_number() OVER (PARTITION BY threshold ORDER BY count(*) DESC, class_id) AS r FROM h GROUP BY ALL)
+w AS (SELECT threshold, class_id, count(*) AS c, row_number() OVER (PARTITION BY threshold ORDER BY count(*) DESC, class_id) AS r FROM h GROUP BY threshold, class_id)
 SELECT th.threshold, frames, coalesce(frames_hit, 0) AS frames_hit, coalesce(detections, 0) AS detections, round(100.0 * coalesce(frames_hit, 0) / frames, 6) AS rate, w.class_id AS worst_class, w.c AS worst_n
 FROM th CROSS JOIN n LEFT JOIN a ON a.threshold = th.threshold LEFT JOIN w ON w.threshold = th.threshold AND r = 1""", "det"))(
     lambda T: me.sweep_negatives(T.det.filter("cls IN ('knife', 'chair')").select((F.col("source") * 1000000 + F.col("frame_no")).alias("frame_id"), F.col("cls").alias("class_id"), F.col("confidence").alias("score")),
@@ -340,7 +340,7 @@ R.query("knn_distance", "WITH " + KNN + " SELECT vec_id, label, distance FROM kd
 R.query("auc", "WITH " + KNN + """ SELECT round(avg(CASE WHEN p.distance > n.distance THEN 1.0 WHEN p.distance = n.distance THEN 0.5 ELSE 0 END), 6) AS auc FROM kd p JOIN kd n ON p.label = 0 AND n.label = 1""")(
     lambda T: me.auc(distances(T).withColumn("positive", F.col("label") == 0), "distance").select(F.round("auc", 6).alias("auc")))
 R.query("span_scores", "WITH " + KNN + """, s AS (SELECT vec_id % 20 AS span_id, label = 0 AS incident, distance FROM kd), nm AS (SELECT median(distance) AS m FROM s WHERE NOT incident)
-SELECT span_id, incident, count(*) AS windows, round(max(distance), 6) AS "max", round(median(distance), 6) AS median, incident AND median(distance) > any_value(m) + 1e-12 AS above_normal FROM s CROSS JOIN nm GROUP BY ALL""")(
+SELECT span_id, incident, count(*) AS windows, round(max(distance), 6) AS "max", round(median(distance), 6) AS median, incident AND median(distance) > any_value(m) + 1e-12 AS above_normal FROM s CROSS JOIN nm GROUP BY span_id, incident""")(
     lambda T: me.span_scores(distances(T).select((F.col("vec_id") % 20).alias("span_id"), (F.col("label") == 0).alias("incident"), "distance"))
     .select("span_id", "incident", "windows", F.round("max", 6).alias("max"), F.round("median", 6).alias("median"), (F.col("incident") & (F.col("median") > F.col("normal_median") + 1e-12)).alias("above_normal")))
 R.query("hold_out", """

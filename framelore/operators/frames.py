@@ -165,11 +165,12 @@ def scale_windows(buffers: DataFrame, scales: Sequence[int] = (100, 45, 20), str
     """
     parts = []
     short = min(scales)
+    window = lambda s: lambda b: F.struct(F.lit(s).alias("scale"), b.alias("back"))
     for s in sorted(scales, reverse=True):
         step = 1 if s == short else max(1, s // 6)
-        back = F.least(F.lit(stride), F.col("n") - s)
+        back = F.greatest(F.lit(0), F.least(F.lit(stride), F.col("n") - s))
         steps = F.slice(F.sequence(F.lit(0).cast("long"), back.cast("long"), F.lit(step).cast("long")), 1, cap)
-        parts.append(F.when(F.col("n") >= s, F.transform(steps, lambda b, s=s: F.struct(F.lit(s).alias("scale"), b.alias("back"))))
+        parts.append(F.when(F.col("n") >= s, F.transform(steps, window(s)))
                      .otherwise(F.array().cast("array<struct<scale:int,back:bigint>>")))
     whole = F.when((F.col("n") < short) & (F.col("n") > 0), F.array(F.struct(F.col("n").cast("int").alias("scale"), F.lit(0).cast("long").alias("back")))) \
              .otherwise(F.array().cast("array<struct<scale:int,back:bigint>>"))
