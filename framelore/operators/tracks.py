@@ -41,6 +41,33 @@ def _overlaps(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
     return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
 
 
+def match_frame(live: dict, tick: int, frame, iou: float, reach: int) -> list[tuple[int, int | None]]:
+    """Match one frame's detections (det_id, box) to the live tracks {last det id: (tick, box)}.
+
+    Changes ``live`` and returns (det_id, matched last det id or None) in order.
+    """
+    for i in [i for i, v in live.items() if tick - v[0] > reach]:
+        del live[i]
+    free, fresh, out = sorted(live), {}, []
+    for det_id, box in frame:
+        best = None
+        if free:
+            scores = _overlaps(np.stack([live[i][1] for i in free]), box)
+            at = int(np.argmax(scores))
+            best = free[at] if scores[at] > iou else None
+        if best is not None:
+            free.remove(best)
+            live.pop(best)
+        fresh[det_id] = (int(tick), box)
+        out.append((det_id, best))
+    live.update(fresh)
+    return out
+
+
+def frame_rows(frame: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
+    return [(int(i), np.array(b, dtype=float)) for i, *b in frame[["det_id", *expr.BOX]].sort_values("det_id").itertuples(index=False)]
+
+
 def track(dets: DataFrame, iou: float = 0.3, max_misses: int = 15, frames: DataFrame | None = None,
           slice_ticks: int = 2000) -> DataFrame:
     """Greedy overlap tracker: each detection takes the best-overlapping live track of its class.
@@ -62,26 +89,9 @@ def track(dets: DataFrame, iou: float = 0.3, max_misses: int = 15, frames: DataF
         heads = {i: (i, True) for i in live}
         out = []
         for tick, frame in pdf.groupby("tick", sort=True):
-            live = {i: v for i, v in live.items() if tick - v[0] <= reach}
-            free = sorted(live)
-            fresh = {}
-            for det_id, *box in frame[["det_id", *expr.BOX]].sort_values("det_id").itertuples(index=False):
-                det_id, box = int(det_id), np.array(box, dtype=float)
-                best = None
-                if free:
-                    scores = _overlaps(np.stack([live[i][1] for i in free]), box)
-                    at = int(np.argmax(scores))
-                    best = free[at] if scores[at] > iou else None
-                if best is None:
-                    head = (det_id, False)
-                else:
-                    free.remove(best)
-                    head = heads.pop(best)
-                    live.pop(best)
-                fresh[det_id] = (int(tick), box)
-                heads[det_id] = head
-                out.append((det_id, *head))
-            live.update(fresh)
+            for det_id, best in match_frame(live, tick, frame_rows(frame), iou, reach):
+                heads[det_id] = (det_id, False) if best is None else heads.pop(best)
+                out.append((det_id, *heads[det_id]))
         state = [[i, int(k), [float(x) for x in b]] for i, (k, b) in sorted(live.items())]
         return pd.DataFrame(out, columns=["det_id", "head_id", "open"]), state
 
