@@ -4,6 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from contract.base import Registry, add_view, with_views
+from contract import data, people, text  # noqa: F401  (their views are used here)
 from contract.perception import ZONES, poses
 from framelore.config import DEFAULTS
 from framelore.plans import review

@@ -53,13 +53,13 @@ def points(T):
 HANDS_SQL = """hands AS (
   SELECT source, frame_no, person_idx, CASE WHEN wc >= 0.3 THEN wx ELSE ex END AS hx, CASE WHEN wc >= 0.3 THEN wy ELSE ey END AS hy,
          CASE WHEN wc >= 0.3 THEN 'right' ELSE 'right (elbow)' END AS hand, {tol} * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS lim
-  FROM pose WHERE wc >= 0.3 OR ec >= 0.3),
+  FROM pose WHERE (wc >= 0.3 OR ec >= 0.3)),
 near AS (SELECT t.source, t.frame_no, t.det_id, h.person_idx, h.hand, h.lim,
          sqrt(power(greatest(t.x1 - hx, 0, hx - t.x2), 2) + power(greatest(t.y1 - hy, 0, hy - t.y2), 2)) AS d
          FROM tools t JOIN hands h ON h.source = t.source AND h.frame_no = t.frame_no),
 grips AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY 1 - d / lim DESC, person_idx) AS n FROM near WHERE d <= lim) z WHERE n = 1)"""
 R.query("grip_matches", with_views("WITH " + TOOL_SQL + "," + HANDS_SQL.format(tol=0.6) + """
-SELECT source, frame_no, det_id, person_idx, hand, round(d, 6) AS d, round(1 - d / lim, 2) AS grip FROM grips""", "det", "pose"))(
+SELECT source, frame_no, det_id, person_idx, hand, round(d, 1) AS d, round(1 - d / lim, 2) AS grip FROM grips""", "det", "pose"))(
     lambda T: relate.grip_matches(tools(T), poses(T), 0.6).select("source", "frame_no", "det_id", "person_idx", "hand",
                                                                   F.col("distance_px").alias("d"), F.round("grip", 2).alias("grip")))
 CARRY_SQL = """carry AS (SELECT * FROM (

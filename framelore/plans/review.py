@@ -28,7 +28,8 @@ def detect_events(dets: DataFrame, poses: DataFrame | None = None, preds: DataFr
         parts += [rules.action_events(preds, people, cfg), rules.distress_events(preds, cfg)]
     if captions is not None:
         parts.append(cap.caption_events(captions, cap.signals(dets, preds), cfg))
-    events = materialise(rules.all_events(*parts), "events")
+    # Each rule's output is small beside its input; written on its own it plans and fails on its own.
+    events = rules.all_events(*[materialise(p, "rule") for p in parts])
     return materialise(inc.finalise(events, cfg), "kept")
 
 
