@@ -33,12 +33,12 @@ def with_ticks(rows: DataFrame, frames: DataFrame | None = None, slice_s: float
 
 # ── tracker ──────────────────────────────────────────────────────────────────
 
-def _overlaps(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
-    lo, hi = np.maximum(boxes[:, :2], box[:2]), np.minimum(boxes[:, 2:], box[2:])
-    inter = np.prod(np.clip(hi - lo, 0, None), axis=1)
-    area = lambda b: np.prod(np.clip(b[..., 2:] - b[..., :2], 0, None), axis=-1)
-    union = area(boxes) + area(box) - inter
-    return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
+def _overlap(a, b) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    if w <= 0 or h <= 0:
+        return 0.0
+    inter = w * h
+    return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
 
 
 def match_frame(live: dict, tick: int, frame, iou: float, reach: int) -> list[tuple[int, int | None]]:
@@ -50,11 +50,11 @@ def match_frame(live: dict, tick: int, frame, iou: float, reach: int) -> list[tu
         del live[i]
     free, fresh, out = sorted(live), {}, []
     for det_id, box in frame:
-        best = None
-        if free:
-            scores = _overlaps(np.stack([live[i][1] for i in free]), box)
-            at = int(np.argmax(scores))
-            best = free[at] if scores[at] > iou else None
+        best, most = None, iou
+        for i in free:
+            score = _overlap(live[i][1], box)
+            if score > most:
+                best, most = i, score
         if best is not None:
             free.remove(best)
             live.pop(best)
@@ -64,12 +64,16 @@ def match_frame(live: dict, tick: int, frame, iou: float, reach: int) -> list[tu
     return out
 
 
-def frame_rows(frame: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
-    return [(int(i), np.array(b, dtype=float)) for i, *b in frame[["det_id", *expr.BOX]].sort_values("det_id").itertuples(index=False)]
+def frames_of(pdf: pd.DataFrame):
+    """(tick, [(det_id, box), ...]) of each frame; rows are in (tick, det_id) order."""
+    ticks, ids, boxes = pdf["tick"].to_numpy(), pdf["det_id"].to_numpy(), pdf[list(expr.BOX)].to_numpy(dtype=float)
+    edges = [0, *(np.flatnonzero(np.diff(ticks)) + 1).tolist(), len(ticks)] if len(ticks) else [0]
+    for lo, hi in zip(edges, edges[1:]):
+        yield int(ticks[lo]), [(int(ids[i]), boxes[i].tolist()) for i in range(lo, hi)]
 
 
 def track(dets: DataFrame, iou: float = 0.3, max_misses: int = 15, frames: DataFrame | None = None,
-          slice_ticks: int = 2000) -> DataFrame:
+          slice_ticks: int = 512) -> DataFrame:
     """Greedy overlap tracker: each detection takes the best-overlapping live track of its class.
 
     Classes never match one another, so (source, class) is an exact split; long
@@ -85,11 +89,11 @@ def track(dets: DataFrame, iou: float = 0.3, max_misses: int = 15, frames: DataF
 
     def fold(pdf: pd.DataFrame, state):
         # live: last det id -> [tick, box]; heads: last det id -> (head, open)
-        live = {int(i): (k, np.array(b)) for i, k, b in (state or [])}
+        live = {int(i): (k, b) for i, k, b in (state or [])}
         heads = {i: (i, True) for i in live}
         out = []
-        for tick, frame in pdf.groupby("tick", sort=True):
-            for det_id, best in match_frame(live, tick, frame_rows(frame), iou, reach):
+        for tick, frame in frames_of(pdf):
+            for det_id, best in match_frame(live, tick, frame, iou, reach):
                 heads[det_id] = (det_id, False) if best is None else heads.pop(best)
                 out.append((det_id, *heads[det_id]))
         state = [[i, int(k), [float(x) for x in b]] for i, (k, b) in sorted(live.items())]

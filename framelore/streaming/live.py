@@ -89,15 +89,15 @@ def track_stream(rows: DataFrame, cfg: RuleConfig = DEFAULTS, expire_s: float =
             state.remove()
             return
         saved = json.loads(state.get[0]) if state.exists else []
-        live = {int(s["last"]): (s["tick"], np.array(s["box"])) for s in saved}
+        live = {int(s["last"]): (s["tick"], s["box"]) for s in saved}
         memo = {int(s["last"]): s for s in saved}
         limit = cfg.loiter_s if key[1] == "person" else cfg.unattended_s if key[1] in dims.ABANDONABLE else float("inf")
         out, newest = [], 0.0
-        pdf = pd.concat(list(batches))
-        for tick, frame in pdf.groupby("tick", sort=True):
-            info = frame.set_index("det_id")
-            for det_id, best in tr.match_frame(live, int(tick), tr.frame_rows(frame), cfg.track_iou, reach):
-                r = info.loc[det_id]
+        pdf = pd.concat(list(batches)).sort_values(["tick", "det_id"])
+        info = {r.det_id: r for r in pdf.itertuples(index=False)}
+        for tick, frame in tr.frames_of(pdf):
+            for det_id, best in tr.match_frame(live, tick, frame, cfg.track_iou, reach):
+                r = info[det_id]
                 c = [(r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2]
                 m = memo.pop(best) if best is not None else {"root": det_id, "anchor": [*c, float(r.t)], "fired": False}
                 diag = float(np.hypot(r.frame_w, r.frame_h))
