@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from contract.base import Registry, add_view, with_views
 from framelore import dims
 from framelore.operators import captions as cap, instruct as ins
+from framelore.session import materialise
 
 R = Registry()
 
@@ -42,7 +43,7 @@ c AS (SELECT *, CASE WHEN type IN ('weapon_reported', 'shooting_reported') THEN
   WHEN type IN ('crowd_panic_reported', 'pursuit_reported') THEN people >= 3
   WHEN type = 'collision_reported' THEN list_has_any(classes, ['car', 'truck', 'bus', 'motorcycle', 'bicycle', 'train']) ELSE people >= 1 END AS ok FROM a)
 SELECT caption_id, pattern_no, type, coalesce(ok, FALSE) AS corroborated, round(CASE WHEN coalesce(ok, FALSE) THEN least(1.0::DOUBLE, base + 0.15) ELSE base - 0.10 END, 6) AS score FROM c""", "cap", "det"))(
-    lambda T: cap.corroborate(cap.screen_captions(T.cap), cap.signals(T.det)).select("caption_id", "pattern_no", "type", "corroborated", F.round("score", 6).alias("score")))
+    lambda T: cap.corroborate(materialise(cap.screen_captions(T.cap), "hits"), cap.signals(T.det)).select("caption_id", "pattern_no", "type", "corroborated", F.round("score", 6).alias("score")))
 R.query("caption_events")(lambda T: cap.caption_events(T.cap, cap.signals(T.det, T.act)).drop("evidence"))
 VERDICT = f"""CASE WHEN NOT regexp_matches(text, '{INC}') THEN 'malformed' WHEN regexp_matches(trim(regexp_extract(text, '{INC}', 1), ' ' || chr(9) || chr(10) || chr(13)), '{NONE}') THEN 'none' ELSE 'flagged' END"""
 R.query("eval_format", with_views(f"""

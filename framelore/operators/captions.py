@@ -9,6 +9,7 @@ from framelore import dims
 from framelore.config import DEFAULTS, RuleConfig
 from framelore.functions import expr
 from framelore.operators import rules, slices
+from framelore.session import materialise
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -91,7 +92,8 @@ def corroborate(hits: DataFrame, sig: DataFrame, slice_s: float = 600.0) -> Data
 
 def caption_events(captions: DataFrame, sig: DataFrame, cfg: RuleConfig = DEFAULTS, parity: bool = False) -> DataFrame:
     """Captions → lexicon hits → corroboration → events of the caption tier."""
-    scored = corroborate(screen_captions(captions, parity), sig)
+    # Hits are few beside the captions; written once, the screening is not repeated by the as-of join.
+    scored = corroborate(materialise(screen_captions(captions, parity), "hits"), sig)
     name = F.initcap(F.trim(F.replace(F.replace(F.col("type"), F.lit("_"), F.lit(" ")), F.lit(" reported"), F.lit(""))))
     found = scored.filter(F.col("score") >= cfg.caption_min_score).withColumn("frame_no", F.lit(None).cast("long"))
     return rules.as_events(found, label=name, category=F.lit("caption"), severity=F.col("severity"), score=F.col("score"),

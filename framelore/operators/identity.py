@@ -22,14 +22,20 @@ def compatible(a: Column, b: Column) -> Column:
 
 
 def match_score(a: str, b: str, bands: int = 3) -> Column:
-    """Appearance decides; shape and class modulate."""
+    """Appearance decides; shape and class modulate. Both sides come from ``prepared``."""
     c = lambda p, n: F.col(f"{p}.{n}")
-    look = expr.signature_similarity(c(a, "signature"), c(b, "signature"), bands)
+    look = expr.weighted_similarity(c(a, "_w"), c(a, "_u"), c(b, "_w"), c(b, "_u"), bands)
     both = (c(a, "aspect") > 0) & (c(b, "aspect") > 0)
     ratio = F.when(both, F.least(c(a, "aspect"), c(b, "aspect")) / F.greatest(c(a, "aspect"), c(b, "aspect"))).otherwise(1.0)
     return F.when(look > 0, look * (0.80 + 0.20 * ratio) * compatible(c(a, "cls"), c(b, "cls"))).otherwise(0.0)
 
 
+def prepared(df: DataFrame, bands: int = 3) -> DataFrame:
+    """Per row what every comparison needs: weighted signature, used blocks, class group."""
+    return (df.withColumn("_w", expr.weighted_signature(F.col("signature"), bands)).withColumn("_u", expr.block_use(F.col("signature"), bands))
+            .withColumn("_g", expr.class_group(F.col("cls"))))
+
+
 def best_match(sightings: DataFrame, entities: DataFrame, bands: int = 3, shards: int = 16) -> DataFrame:
     """The closest stored entity of each sighting and the similarity.
 
@@ -38,8 +44,8 @@ def best_match(sightings: DataFrame, entities: DataFrame, bands: int = 3, shards
     one, so a group that dominates is cut into ``shards`` of entities: each shard
     finds its own best in a partial aggregate and only that is shuffled on.
     """
-    s = sightings.withColumn("_g", expr.class_group(F.col("cls"))).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    e = entities.withColumn("_g", expr.class_group(F.col("cls"))).withColumn("_shard", F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int"))
+    s = prepared(sightings, bands).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    e = prepared(entities, bands).withColumn("_shard", F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int"))
     on = (F.col("s.kind") == F.col("e.kind")) & (F.col("s._g") == F.col("e._g")) & (F.col("s._shard") == F.col("e._shard"))
     scored = s.alias("s").join(e.alias("e"), on).select(F.col("s.sighting_id"), F.col("e.entity_id"), match_score("e", "s", bands).alias("similarity"))
     return (scored.filter(F.col("similarity") > 0).groupBy("sighting_id")
