@@ -91,7 +91,7 @@ def clip_balance(clips: DataFrame) -> DataFrame:
     """Clips per class, classes too thin to learn, and whether normal footage is under-represented."""
     n = clips.groupBy("label").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("_all"), F.coalesce(F.sum(F.when(F.col("label") == "normal", F.col("n"))), F.lit(0)).alias("_normal"))
-    return n.crossJoin(total).select("label", "n", (F.col("n") < 30).alias("thin"), (F.col("_normal") < F.col("_all") * 0.3).alias("few_normals"))  # one row
+    return slices.with_one_row(n, total).select("label", "n", (F.col("n") < 30).alias("thin"), (F.col("_normal") < F.col("_all") * 0.3).alias("few_normals"))
 
 
 # ── box labels ───────────────────────────────────────────────────────────────
@@ -124,7 +124,7 @@ def audit_summary(images: DataFrame, labels: DataFrame) -> DataFrame:
         F.count("*").alias("images"), F.count_if(F.col("has_file") & (F.coalesce("lines", F.lit(0)) > 0)).alias("labelled"),
         F.count_if(F.col("has_file") & F.col("lines").isNull()).alias("negatives"), F.count_if(~F.col("has_file")).alias("missing"))
     c = with_area(labels).groupBy("class_id").agg(F.count("*").alias("n")).agg((F.max("n") / F.min("n")).alias("imbalance"))
-    return i.crossJoin(c).withColumn("imbalanced", F.coalesce(F.col("imbalance") > 3, F.lit(False)))  # two one-row tables
+    return slices.with_one_row(i, c).withColumn("imbalanced", F.coalesce(F.col("imbalance") > 3, F.lit(False)))
 
 
 def filter_by_scale(labels: DataFrame, images: DataFrame, max_pct: float = 5.0, min_pct: float = 0.0) -> DataFrame:
@@ -295,9 +295,9 @@ def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 0, key: str
     line = slices.running_total(line, [], "_u", 1.0, F.col("_w"), "hi", [key]).withColumn("lo", F.col("hi") - F.col("_w"))
     total = line.agg(F.max("hi").alias("_total"))
     spark = df.sparkSession
-    draws = (spark.range(n).withColumnRenamed("id", "draw_no").crossJoin(F.broadcast(total))  # one row
+    draws = (slices.with_one_row(spark.range(n).withColumnRenamed("id", "draw_no"), total)
              .withColumn("at", draw(seed + 1, "draw_no") * F.col("_total")).withColumn("_b", F.floor(F.col("at") / F.col("_total") * buckets).cast("long")))
-    spans = (line.crossJoin(F.broadcast(total))  # one row
+    spans = (slices.with_one_row(line, total)
              .withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_total") * buckets).cast("long"), F.floor(F.col("hi") / F.col("_total") * buckets).cast("long")))))
     hit = draws.drop("_total").join(spans.drop("_total"), "_b").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
     return df.join(hit.select("draw_no", key), key)

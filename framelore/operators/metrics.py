@@ -30,7 +30,7 @@ def class_metrics(preds: DataFrame) -> DataFrame:
 def overall_metrics(preds: DataFrame) -> DataFrame:
     """Accuracy, mean loss and macro-F1 over the classes present."""
     one = preds.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"), F.avg("loss").alias("loss"))
-    return one.crossJoin(class_metrics(preds).agg(F.avg("f1").alias("macro_f1")))  # two one-row tables
+    return slices.with_one_row(one, class_metrics(preds).agg(F.avg("f1").alias("macro_f1")))
 
 
 def false_crime_rate(preds: DataFrame, normal, non_crime: Sequence) -> DataFrame:
@@ -45,7 +45,7 @@ def class_weights(clips: DataFrame) -> DataFrame:
     """Inverse-frequency weight of every class present."""
     counts = clips.groupBy("label").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
-    return counts.crossJoin(total).select("label", "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))  # one row
+    return slices.with_one_row(counts, total).select("label", "n", (F.col("_all") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
 def sample_weights(clips: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def sweep_negatives(scores: DataFrame, frames: DataFrame, thresholds: Sequence[f
         F.count("*").alias("frames_hit"), F.sum("n").alias("detections"))
     worst = per.groupBy("threshold", "class_id").agg(F.sum("n").alias("n")).groupBy("threshold").agg(
         F.min_by(F.struct("class_id", "n"), F.struct(-F.col("n"), F.col("class_id"))).alias("w"))
-    base = dims.rows_df(spark, [(float(t),) for t in thresholds], "threshold double").crossJoin(frames.agg(F.count("*").alias("frames")))  # constant x one row
+    base = slices.with_one_row(dims.rows_df(spark, [(float(t),) for t in thresholds], "threshold double"), frames.agg(F.count("*").alias("frames")))
     out = base.join(frames_hit, "threshold", "left").join(worst, "threshold", "left").fillna(0, ["frames_hit", "detections"])
     out = out.select("threshold", "frames", "frames_hit", "detections", (100.0 * F.col("frames_hit") / F.greatest("frames", F.lit(1))).alias("rate"),
                      F.col("w.class_id").alias("worst_class"), F.col("w.n").alias("worst_n"))
@@ -134,7 +134,7 @@ def sweep_prf(verdicts: DataFrame, truth: DataFrame) -> DataFrame:
     v = verdicts.agg(F.count_if(~F.col("hit")).alias("false_positives"))
     t = truth.agg(F.count("*").alias("incidents"), F.count_if("found").alias("detected"), F.count_if(~F.col("found")).alias("missed"))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    m = t.crossJoin(v)  # two one-row tables
+    m = slices.with_one_row(t, v)
     m = m.withColumn("precision", safe(F.col("detected"), F.col("detected") + F.col("false_positives"))).withColumn("recall", safe(F.col("detected"), F.col("incidents")))
     return m.withColumn("f1", safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
@@ -227,5 +227,5 @@ def span_scores(distances: DataFrame, width: float = 0.001) -> DataFrame:
     med = slices.quantile_at(distances, ["span_id", "incident"], "distance", {"median": 0.5}, width)
     top = distances.groupBy("span_id", "incident").agg(F.max("distance").alias("max"), F.count("*").alias("windows"))
     normal = slices.quantile_at(distances.filter(~F.col("incident")), [], "distance", {"normal_median": 0.5}, width)
-    return (top.join(med, ["span_id", "incident"]).crossJoin(normal)  # one row
+    return (slices.with_one_row(top.join(med, ["span_id", "incident"]), normal)
             .withColumn("above_normal", F.col("incident") & (F.col("median") > F.col("normal_median"))))

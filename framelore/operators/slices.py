@@ -187,6 +187,11 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str
     return j.select(*cols)
 
 
+def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Every row with the columns of a global aggregate, which has exactly one row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
     """Distinct values per key with the rows below them: ``value, n, upto``."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
@@ -203,7 +208,7 @@ def quantile_at(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, fl
     ranked = value_ranks(df, keys, value, width)
     sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"))
     on = list(keys)
-    joined = ranked.join(sizes, on) if on else ranked.crossJoin(F.broadcast(sizes))
+    joined = ranked.join(sizes, on) if on else with_one_row(ranked, sizes)
     aggs = []
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("_n") - 1)
