@@ -52,3 +52,15 @@ def test_contacts_corroboration_and_batch_sinks(spark, tmp_path):
     used = []
     live.with_live_config(str(tmp_path / "cfg"), lambda b, cfg: used.append(b.filter(F.col("score") >= cfg.min_score).count()), DEFAULTS)(ev, 0)
     assert used == [1]
+
+
+def test_registry_grows_batch_by_batch(spark, tmp_path):
+    sig = lambda at: [1.0 if i % 32 in (at, 16 + at % 8, 24 + at % 8) else 0.0 for i in range(96)]
+    row = lambda i, at: (i, float(i), "vehicle", "car", "car", sig(at), 1.0)
+    schema = "sighting_id long, t double, kind string, cls string, label string, signature array<double>, aspect double"
+    apply = live.registry_stream(None, str(tmp_path / "reg"))
+    apply(spark.createDataFrame([row(1, 0), row(2, 3)], schema), 0)
+    apply(spark.createDataFrame([row(3, 3), row(4, 5)], schema), 1)
+    reg = {r.entity_id: r.samples for r in files.load_registry(spark, str(tmp_path / "reg")).collect()}
+    assert reg == {"veh_1": 1, "veh_2": 2, "veh_4": 1}
+    assert spark.read.parquet(str(tmp_path / "reg/links")).count() == 4
