@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -178,7 +179,7 @@ def model(path: str) -> BpeModel:
 
 def blocks(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``budget`` bytes, so that long texts do not pile up."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     cut = np.cumsum(sizes) // budget
     starts = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
     for s, e in zip(starts, starts[1:]):
