@@ -1,7 +1,11 @@
 """The registered queries of this folder and their oracle SQL."""
-from framelore.llm import bpe
+from framelore.llm import bpe, exactdup, hilbert
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op5_exact_dedup": exactdup.op5_exact_dedup,
+    "op8_hilbert_shards": hilbert.op8_hilbert_shards,
+}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": exactdup.OP5_SQL,
 }
-ORACLES: dict[str, str] = {}
