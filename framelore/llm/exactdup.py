@@ -35,9 +35,9 @@ def _key(*by: str) -> Column:
 
 def survivors_bitmap(slim: DataFrame) -> DataFrame:
     """(bucket, bits): a bit for each (length, prefix hash) of two rows or more; lengths that occur once go first."""
-    lengths = slim.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_len")
-    groups = (slim.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-              .filter("_n > 1").select(_key("_len", "_prefix").alias("_k")))
+    groups = slim.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    lengths = groups.groupBy("_len").agg(F.sum("_n").alias("_of")).filter("_of > 1").select("_len")
+    groups = groups.join(lengths, "_len", "left_semi").filter("_n > 1").select(_key("_len", "_prefix").alias("_k"))
     return (groups.groupBy(F.bitmap_bucket_number("_k").alias("_bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_k")).alias("_bits")))
 

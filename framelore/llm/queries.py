@@ -1,14 +1,18 @@
 """The registered queries of this folder and their oracle SQL."""
-from framelore.llm import bpe, chat, exactdup, hilbert, packing
+from framelore.llm import bpe, chat, exactdup, hilbert, langid, packing, quality
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_language_id": langid.op3_language_id,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exactdup.op5_exact_dedup,
     "op7_pack_best_fit": packing.op7_pack_best_fit,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat.op2_chat_format,
+    "op3_language_id": langid.op3_language_id,
+    "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exactdup.OP5_SQL,
 }
