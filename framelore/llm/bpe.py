@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Entries of the word and chunk memos before they are emptied (memory only; results do not depend on it).
-MEMO = 1_000_000
+MEMO = 400_000
 # White space of the Unicode standard; str.split() also cuts at U+001C..U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -143,8 +144,9 @@ class BpeModel:
         known = self.chunks.get
         rows = [list(map(known, s)) for s in split]
         gaps = [[k for k, g in enumerate(row) if g is None] if None in row else () for row in rows]
-        parts = {s[k]: () for s, gap in zip(split, gaps) for k in gap}
-        for c in parts:
+        counts = Counter(s[k] for s, gap in zip(split, gaps) for k in gap)
+        parts = {}
+        for c in counts:
             if c.isalpha():
                 parts[c] = (c,)
             elif c[-1] in ".,;:!?" and c[:-1].isalpha():
@@ -152,13 +154,15 @@ class BpeModel:
             else:
                 parts[c] = self.pattern.findall(c)
         words = list(set().union(*parts.values()).difference(self.words))
-        self.words.update(zip(words, self.merge_words(words)))
-        word = self.words.__getitem__
-        for c, ws in parts.items():
-            self.chunks[c] = word(ws[0]) if len(ws) == 1 else b"".join(map(word, ws))
+        fresh = dict(zip(words, self.merge_words(words)))
+        made = {c: b"".join([fresh[w] if w in fresh else self.words[w] for w in ws]) for c, ws in parts.items()}
+        for c, n in counts.items():
+            if n > 1:  # most words of one occurrence never come again
+                self.chunks[c] = made[c]
+                self.words.update((w, fresh[w]) for w in parts[c] if w in fresh)
         for s, row, gap in zip(split, rows, gaps):
             for k in gap:
-                row[k] = self.chunks[s[k]]
+                row[k] = made[s[k]]
         return list(map(b"".join, rows))
 
     def decode(self, ids: bytes) -> str:

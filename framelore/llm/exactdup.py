@@ -14,12 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framelore.llm.bitmap import bitmap, slot, with_hit
 from framelore.session import materialise
 
 PREFIX = 64
-# Bits of the survivors' bitmap: 1024 rows of 4 KB, so the broadcast is 4 MB at any input size.
-# More surviving groups than bits only mean that more texts are hashed in full.
-BITS = 1 << 25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -29,17 +27,11 @@ def folded(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _key(*by: str) -> Column:
-    return F.pmod(F.xxhash64(*by), F.lit(BITS))
-
-
-def survivors_bitmap(slim: DataFrame) -> DataFrame:
-    """(bucket, bits): a bit for each (length, prefix hash) of two rows or more; lengths that occur once go first."""
+def survivors(slim: DataFrame) -> DataFrame:
+    """The bitmap of each (length, prefix hash) of two rows or more; lengths that occur once go first."""
     groups = slim.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     lengths = groups.groupBy("_len").agg(F.sum("_n").alias("_of")).filter("_of > 1").select("_len")
-    groups = groups.join(lengths, "_len", "left_semi").filter("_n > 1").select(_key("_len", "_prefix").alias("_k"))
-    return (groups.groupBy(F.bitmap_bucket_number("_k").alias("_bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_k")).alias("_bits")))
+    return bitmap(groups.join(lengths, "_len", "left_semi").filter("_n > 1").select(slot("_len", "_prefix").alias("_k")))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -50,15 +42,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_len"),
                        F.xxhash64(folded(F.substring(F.col(text_col), 1, PREFIX))).alias("_prefix"),
                        text.alias("_text"))
-    bits = survivors_bitmap(base.select("_len", "_prefix"))
-    position = F.bitmap_bit_position("_k")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    # Fixed size (see BITS), hence the hint.
-    looked = (base.withColumn("_k", _key("_len", "_prefix")).withColumn("_bucket", F.bitmap_bucket_number("_k"))
-              .join(F.broadcast(bits), "_bucket", "left"))
-    survives = F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)).cast("int") % 2 == 1, F.lit(False))
+    looked = with_hit(base, survivors(base.select("_len", "_prefix")), slot("_len", "_prefix"))
     written = materialise(looked.select("_id", *[f"_c_{c}" for c in carry], "_len", "_prefix",
-                                        F.when(survives, F.sha2(F.col("_text").cast("binary"), 256)).alias("_full"),
+                                        F.when(F.col("_hit"), F.sha2(F.col("_text").cast("binary"), 256)).alias("_full"),
                                         F.monotonically_increasing_id().alias("_row")), "exactdup")
     again = written.filter("_full is not null")
     # Written, so that the join below reads two plain exchanges and adaptive execution can split a hot group.

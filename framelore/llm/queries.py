@@ -1,5 +1,5 @@
 """The registered queries of this folder and their oracle SQL."""
-from framelore.llm import bpe, chat, exactdup, hilbert, langid, packing, quality
+from framelore.llm import bpe, chat, exactdup, hilbert, langid, lshforest, packing, quality
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_exact_dedup": exactdup.op5_exact_dedup,
     "op7_pack_best_fit": packing.op7_pack_best_fit,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
+    "op9_minhash_lsh_forest": lshforest.op9_minhash_lsh_forest,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat.op2_chat_format,
