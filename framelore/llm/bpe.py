@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # Entries of the word and chunk memos before they are emptied (memory only; results do not depend on it).
-MEMO = 400_000
+MEMO = 200_000
 # White space of the Unicode standard; str.split() also cuts at U+001C..U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD = re.compile("[\x1c-\x1f]")
@@ -181,7 +181,7 @@ def model(path: str) -> BpeModel:
     return _MODELS[path]
 
 
-def blocks(batch: pa.RecordBatch, column: str, budget: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``budget`` bytes, so that long texts do not pile up."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     cut = np.cumsum(sizes) // budget
@@ -203,17 +203,22 @@ def schema_with(df: DataFrame, **new: T.DataType) -> T.StructType:
     return T.StructType(kept + [T.StructField(n, t) for n, t in new.items()])
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = False) -> DataFrame:
-    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``; the text is dropped unless asked for."""
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", keep_text: bool = False, decoded: str | None = None) -> DataFrame:
+    """Adds ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``; the text is dropped unless asked for.
+
+    With ``decoded``, also what the ids decode to, in the same pass: one Python worker a task then holds the model.
+    """
     kept = docs if keep_text else docs.drop(text)
-    schema = schema_with(kept, **{ids: T.BinaryType(), "n_tokens": T.LongType()})
+    more = {decoded: T.StringType()} if decoded else {}
+    schema = schema_with(kept, **{ids: T.BinaryType(), "n_tokens": T.LongType()}, **more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for whole in batches:
             for batch in blocks(whole, text):
                 got = m.encode(batch.column(text).to_pylist())
-                done = with_columns(batch, **{ids: pa.array(got, pa.binary()), "n_tokens": pa.array([len(g) // 4 for g in got], pa.int64())})
+                back = {decoded: pa.array([m.decode(g) for g in got], pa.string())} if decoded else {}
+                done = with_columns(batch, **{ids: pa.array(got, pa.binary()), "n_tokens": pa.array([len(g) // 4 for g in got], pa.int64())}, **back)
                 yield done.select([f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
@@ -241,6 +246,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = bpe_decode(bpe_encode(docs, path), path)
+    both = bpe_encode(docs, path, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -1,5 +1,5 @@
 """The registered queries of this folder and their oracle SQL."""
-from framelore.llm import bpe, chat, exactdup, hilbert, langid, lshforest, packing, quality
+from framelore.llm import bpe, chat, exactdup, hilbert, langid, lshforest, nndescent, packing, quality
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_pack_best_fit": packing.op7_pack_best_fit,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
     "op9_minhash_lsh_forest": lshforest.op9_minhash_lsh_forest,
+    "op10_nn_descent": nndescent.op10_nn_descent,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat.op2_chat_format,
