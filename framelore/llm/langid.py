@@ -145,17 +145,17 @@ def training_rows(docs: DataFrame, allowed: Column, per_language: int = 400) ->
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))]
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: LanguageModel, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds ``lang_pred`` and ``score``; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = schema_with(docs, lang_pred=T.StringType(), score=T.DoubleType())
+    schema = schema_with(docs, **{lang_pred: T.StringType(), score: T.DoubleType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
         for whole in batches:
             for batch in blocks(whole, "text"):
                 names, scores = shared.value.predict(batch.column("text").to_pylist())
-                yield with_columns(batch, lang_pred=pa.array(names, pa.string()), score=pa.array(scores)).select([f.name for f in schema])
+                yield with_columns(batch, **{lang_pred: pa.array(names, pa.string()), score: pa.array(scores)}).select([f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 

@@ -107,7 +107,7 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([a, b], "<u8").tobytes()
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()),
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()),
                        T.StructField("sig", T.BinaryType())])
 SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
@@ -118,11 +118,11 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             for batch in blocks(whole, "text"):
                 sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary())], names=SIGNED.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, SIGNED)
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -257,17 +257,22 @@ class Forest:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    """One row for each row of (doc_id, text): doc_id, n_shingles, component_id, kept, stays, mark.
+
+    ``kept`` says that the id names its component; ``stays`` holds for exactly one row
+    of a component, even if ids repeat; ``mark`` is xxhash64 of the text.
+    """
     forest = Forest(docs, width, percent).grow()
     named = forest.labelled(forest.classes.select("id", "doc_id", "fp"))
-    names = materialise(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "names")
-    classes = materialise(named.join(names, "label").select("fp", "component_id"), "named")
-    full = forest.rows.filter("n > 0").join(classes, "fp").select("doc_id", "n", "component_id")
-    empty = forest.rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "id"))
+    names = materialise(named.groupBy("label").agg(first.alias("f")).select("label", F.col("f.doc_id").alias("component_id"), F.col("f.id").alias("first")), "names")
+    classes = materialise(named.join(names, "label").select("fp", "component_id", "first"), "named")
+    full = forest.rows.filter("n > 0").join(classes, "fp").select("doc_id", "mark", "n", "component_id", (F.col("row") == F.col("first")).alias("stays"))
+    empty = forest.rows.filter("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
+    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "stays", "mark")
 
 
 def op9_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 

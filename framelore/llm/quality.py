@@ -147,10 +147,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 6000) -> list[
     return [(r["quality"], r["text"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or ""))]
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Adds ``score`` and ``predicted``."""
+def score_quality(docs: DataFrame, model: QualityModel, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Adds ``score`` and ``predicted``; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = schema_with(docs, score=T.DoubleType(), predicted=T.IntegerType())
+    schema = schema_with(docs, **{score: T.DoubleType(), predicted: T.IntegerType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
@@ -158,7 +158,8 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         for whole in batches:
             for batch in blocks(whole, "text"):
                 scores = np.array([shared.value.score(hasher, t) for t in batch.column("text").to_pylist()], float)
-                yield with_columns(batch, score=pa.array(scores), predicted=pa.array((scores >= 0.5).astype(np.int32))).select([f.name for f in schema])
+                made = {score: pa.array(scores), predicted: pa.array((scores >= 0.5).astype(np.int32))}
+                yield with_columns(batch, **made).select([f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 

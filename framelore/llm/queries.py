@@ -1,5 +1,5 @@
 """The registered queries of this folder and their oracle SQL."""
-from framelore.llm import bpe, chat, exactdup, hilbert, langid, lshforest, nndescent, packing, quality
+from framelore.llm import bpe, chat, exactdup, hilbert, langid, licenses, lshforest, nndescent, packing, quality
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -7,6 +7,7 @@ QUERIES = {
     "op3_language_id": langid.op3_language_id,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exactdup.op5_exact_dedup,
+    "op6_license_scan": licenses.op6_license_scan,
     "op7_pack_best_fit": packing.op7_pack_best_fit,
     "op8_hilbert_shards": hilbert.op8_hilbert_shards,
     "op9_minhash_lsh_forest": lshforest.op9_minhash_lsh_forest,
@@ -17,4 +18,5 @@ ORACLES: dict[str, str] = {
     "op3_language_id": langid.op3_language_id,
     "op4_quality": quality.op4_quality,
     "op5_exact_dedup": exactdup.OP5_SQL,
+    "op6_license_scan": licenses.OP6_SQL,
 }
