@@ -68,7 +68,8 @@ def shard_hilbert(rows: DataFrame, dims: list[str], tie: list[str], shards: int,
     table = materialise(rows.select("*", *[ordinal(F.col(c), rows.schema[c].dataType).alias(n) for c, n in zip(dims, names)]), "hilbert")
     marks = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = table.agg(*[F.percentile_approx(n, marks, accuracy).alias(n) for n in names]).first()  # 63 numbers a dimension
-    edges = [np.unique(np.array(cuts[n] or [], float)) for n in names]
+    # Marks may repeat: a frequent value then takes as wide a stretch of the cells as it has rows.
+    edges = [np.array(cuts[n] or [], float) for n in names]
 
     def curve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
