@@ -34,8 +34,11 @@ def survivors(slim: DataFrame) -> DataFrame:
     return bitmap(groups.join(lengths, "_len", "left_semi").filter("_n > 1").select(slot("_len", "_prefix").alias("_k")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept`` and the columns of ``carry``."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, only_kept: bool = False) -> DataFrame:
+    """One row for each row of ``docs`` (or each that stays): the id, the columns of ``carry``, ``keep_id``, ``group_size``, ``kept``.
+
+    A carried column of such a name takes its place.
+    """
     carry = [c for c in carry or [] if c != id_col]
     text = folded(F.col(text_col))
     base = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c_{c}") for c in carry],
@@ -55,8 +58,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           (F.col("_best._row") == F.col("_row")).alias("kept"))
     alone = written.filter("_full is null").select("_id", *out, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                                                    F.lit(True).alias("kept"))
-    return alone.unionByName(found).select(F.col("_id").alias(id_col), *[F.col(f"_c_{c}").alias(c) for c in carry],
-                                           "keep_id", "group_size", "kept")
+    every = alone.unionByName(found)
+    if only_kept:
+        every = every.filter("kept")
+    names = [c for c in ("keep_id", "group_size", "kept") if c not in carry]
+    return every.select(F.col("_id").alias(id_col), *[F.col(f"_c_{c}").alias(c) for c in carry], *names)
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Approximate nearest neighbours: an NN-descent graph, searched greedily.
 
 Equal vectors form one node; its members are ranked by id only when answers are
-made. The graph links nodes by the cosine of their vectors, kept for this as one
-signed byte a component with a scale; answers are scored by the inner product of
-the original vectors in double precision.
+made. The graph links nodes by the cosine of their vectors, filled up to one norm by a
+further component and kept as one signed byte a component with a scale; answers are
+scored by the inner product of the original vectors in double precision.
 
 Build: nodes start with neighbours from the leaves of random projection trees over
 range-partitioned runs of the table. A descent step joins every node's neighbours
@@ -83,16 +83,24 @@ def top(rows: DataFrame, k: int, by: str, other: str, score: str = "sim") -> Dat
 
 # --- vectors as bytes ---
 
-@F.pandas_udf(T.BinaryType())
-def packed(vec: pd.Series) -> pd.Series:
-    """The direction of a vector: its scale as a 32-bit float, then a signed byte a component."""
-    if not len(vec):
-        return pd.Series([], dtype=object)
-    m = np.stack(vec.to_numpy())
-    m = m / np.abs(m).max(axis=1, keepdims=True)
-    levels = np.rint(m * 127).astype(np.int8)
-    scale = (1 / np.linalg.norm(levels.astype(np.float32), axis=1)).astype("<f4")
-    return pd.Series([s.tobytes() + row.tobytes() for s, row in zip(scale, levels)])
+def packed(largest: float | None) -> Callable:
+    """A UDF: a vector's direction, as its scale (a 32-bit float) and a signed byte a component.
+
+    With the ``largest`` norm of the table, a component is added that fills each vector
+    up to this norm: the cosine of such a vector with a query, which has none, is then in
+    the order of their inner product.
+    """
+    def pack(vec: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=object)
+        m = np.stack(vec.to_numpy())
+        fill = np.zeros(len(m)) if largest is None else np.sqrt(np.maximum(0, 1 - ((m / largest) ** 2).sum(axis=1))) * largest
+        m = np.column_stack([m, fill])
+        m = m / np.abs(m).max(axis=1, keepdims=True)
+        levels = np.rint(m * 127).astype(np.int8)
+        scale = (1 / np.linalg.norm(levels.astype(np.float32), axis=1)).astype("<f4")
+        return pd.Series([s.tobytes() + row.tobytes() for s, row in zip(scale, levels)])
+    return F.pandas_udf(pack, T.BinaryType())
 
 
 def unpacked(raw: bytes | pa.Buffer, n: int) -> np.ndarray:
@@ -256,8 +264,9 @@ class Graph:
         # Equal vectors are one node, named by its smallest id.
         self.nodes = write(rows.groupBy("vec").agg(F.min("vec_id").alias("node")), "nodes")
         self.members = write(rows.join(self.nodes.withColumnRenamed("vec", "v"), F.col("vec") == F.col("v")).select("node", "vec_id"), "members")
-        self.unit = write(self.nodes.select("node", packed("vec").alias("vec")), "unit")
-        count = self.nodes.count()
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x))
+        count, largest = self.nodes.agg(F.count(F.lit(1)), F.max(norm)).first()
+        self.unit = write(self.nodes.select("node", packed(largest)("vec").alias("vec")), "unit")
         found = None
         for tree in range(s.trees):
             ordered = self.unit.withColumn("p", along(tree)("vec")).repartitionByRange("p").sortWithinPartitions("p").select("node", "vec")
@@ -293,7 +302,7 @@ class Graph:
         """(query_id, rank, vec_id, score) for ``queries`` of (query_id), ids of rows of the graph."""
         asked = write(queries.join(self.members.withColumnRenamed("vec_id", "query_id"), "query_id").select("query_id", "node").distinct(), "asked")
         # Queries of equal vectors share one search.
-        starts = write(asked.select(F.col("node").alias("q")).distinct().join(self.unit.select(F.col("node").alias("q"), F.col("vec").alias("qv")), "q"), "starts")
+        starts = write(asked.select(F.col("node").alias("q")).distinct().join(self.nodes.select(F.col("node").alias("q"), packed(None)("vec").alias("qv")), "q"), "starts")
         lists = write(self._around(-1).distinct().join(self.unit.withColumnRenamed("node", "near"), "near").select("node", "near", "vec")
                       .repartition("node").sortWithinPartitions("node").mapInArrow(pack_lists, LIST), "lists")
         beams = starts.select("q", F.col("q").alias("node"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("done"), F.lit(-2.0).cast("float").alias("bar"))
