@@ -31,8 +31,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id",)]
-    return exactdup.exact_dedup(docs, carry=others).filter("kept").select(*docs.columns)
+    others = [c for c in docs.columns if c != "doc_id"]
+    return exactdup.exact_dedup(docs, carry=others, only_kept=True).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
