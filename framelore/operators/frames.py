@@ -37,7 +37,7 @@ def decode_predictions(raw: DataFrame, conf: float, classes: int | None = None,
                     x(F.col("cx") + F.col("w") / 2).alias("x2"), y(F.col("cy") + F.col("h") / 2).alias("y2")))
 
 
-def suppress(dets: DataFrame, thr: float, same_class: bool, floor: float | None = None, max_rounds: int = 1000) -> DataFrame:
+def suppress(dets: DataFrame, thr: float, same_class: bool, floor: float | None = None) -> DataFrame:
     """Greedy suppression without gathering a frame in one task.
 
     A box is dropped if a kept box that comes before it (higher confidence, then
@@ -59,9 +59,7 @@ def suppress(dets: DataFrame, thr: float, same_class: bool, floor: float | None
     edges = materialise(pairs.select(F.col("a_det_id").alias("by"), F.col("b_det_id").alias("det_id")), "edges")
     # state of every box that has a stronger neighbour: null until known, else dropped or not
     open_ = materialise(edges.select("det_id").distinct().withColumn("dropped", F.lit(None).cast("boolean")), "nms")
-    for _ in range(max_rounds):
-        if open_.filter("dropped IS NULL").isEmpty():
-            break
+    while not open_.filter("dropped IS NULL").isEmpty():  # the strongest open box of a frame is settled by each round
         known = open_.select(F.col("det_id").alias("by"), "dropped", F.lit(True).alias("ruled"))
         # A neighbour that has no stronger one itself is kept.
         e = edges.join(known, "by", "left").withColumn("_d", F.when(F.col("ruled").isNull(), False).otherwise(F.col("dropped")))

@@ -12,6 +12,7 @@ therefore partitioned by ``(key, time slice)``:
 * ``sessionize``    — gap-based sessions, from the two above
 * ``range_join``    — point-in-interval joins on equal time buckets
 * ``quantile_at``   — exact quantiles from value counts
+* ``spaced``        — a minimum gap between kept rows, by pointer doubling over slices
 * ``carry_scan``    — any deterministic sequential fold (see its docstring)
 
 Slice tables hold one row per key and slice, so they grow with the time covered,
@@ -23,6 +24,7 @@ import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -221,6 +223,89 @@ def quantile_at(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, fl
     return joined.groupBy(*on).agg(*aggs)
 
 
+# ── spacing ──
+
+def spaced(instants: DataFrame, keys: Sequence[str], ts: str, gap: float, tie: str, width: float) -> DataFrame:
+    """The ``tie`` of the instants that a pass keeping a row only ``gap`` after the last kept one would keep.
+
+    ``instants`` are distinct per key. In every slice only a few rows can be the first
+    that is kept there: those of its first ``gap`` seconds and the next one. For
+    each of these entries (and for "none in this slice") one task finds the last row
+    its chain keeps, which names the entry of the next slice. The entries that the
+    chain from the key's first row reaches are found by pointer doubling, in as many
+    rounds as the logarithm of the number of slices; then each slice is folded
+    once from its entry.
+    """
+    width = max(width, gap)
+    rows = instants.select(F.to_json(F.struct(*keys)).alias("_g"), F.col(ts).cast("double").alias("_t"), F.col(tie).alias("_id"),
+                           slice_no(F.col(ts).cast("double"), width).alias(SLICE))
+    rows = materialise(rows, "spaced")
+    node = T.StructType([T.StructField("_g", T.StringType()), T.StructField(SLICE, T.LongType()), T.StructField("pos", T.LongType()),
+                         T.StructField("entry", T.DoubleType()), T.StructField("last", T.DoubleType())])
+
+    def nexts(t: np.ndarray) -> np.ndarray:
+        """For each row the next one that is kept after it (the number of rows if none)."""
+        at = np.maximum(np.searchsorted(t, t + gap) - 1, 0)
+        while True:
+            early = (at < len(t)) & (t[np.minimum(at, len(t) - 1)] - t < gap)
+            if not early.any():
+                return at
+            at = at + early
+
+    def entries(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(f["_t"].to_numpy())
+        at = nexts(t).tolist()
+        last = t.tolist()
+        for i in range(len(t) - 1, -1, -1):
+            if at[i] < len(t):
+                last[i] = last[at[i]]
+        n = min(int(np.searchsorted(t, key[1] * width + gap)) + 1, len(t))
+        return pd.DataFrame({"_g": key[0], SLICE: key[1], "pos": [-1, *range(n)], "entry": [np.nan, *t[:n]], "last": [-np.inf, *last[:n]]})
+
+    nodes = rows.groupBy("_g", SLICE).applyInPandas(entries, node)
+    nodes = materialise(nodes, "entries")
+    order = Window.partitionBy("_g").orderBy(SLICE)  # one row a slice
+    following = materialise(nodes.filter("pos = -1").select("_g", SLICE).withColumn("_to", F.lead(SLICE).over(order)), "following")
+    link = T.StructType([*node.fields[:3], T.StructField("_to", T.LongType()), T.StructField("to_pos", T.LongType())])
+
+    def connect(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """From what a slice ended with to the entry of the next one."""
+        right = right[right["pos_"] >= 0].sort_values("pos_")
+        t = right["entry_"].to_numpy()
+        last = left["last"].to_numpy()
+        at = np.maximum(np.searchsorted(t, last + gap) - 1, 0)
+        for _ in range(3):  # rounding of the sum moves the place by one at most
+            at = at + ((at < len(t)) & (t[np.minimum(at, len(t) - 1)] - last < gap))
+        return left.assign(to_pos=np.where(at < len(t), at, -1))[["_g", SLICE, "pos", "_to", "to_pos"]]
+
+    ahead = nodes.join(following.filter("_to is not null"), ["_g", SLICE]).select("_g", SLICE, "pos", "last", "_to")
+    targets = nodes.toDF(*[f"{c}_" for c in nodes.columns])
+    jump = materialise(ahead.groupBy("_g", "_to").cogroup(targets.groupBy("_g_", f"{SLICE}_")).applyInPandas(
+        lambda a, b: connect(a, b) if len(a) else pd.DataFrame(columns=[f.name for f in link.fields]), link), "jump")
+    jumps = []
+    while not jump.isEmpty():  # the jumps of step k lead 2 ** k slices on
+        jumps.append(jump)
+        then = jump.select("_g", F.col(SLICE).alias("_to"), F.col("pos").alias("to_pos"), F.col("_to").alias("_far"), F.col("to_pos").alias("far_pos"))
+        jump = materialise(jump.join(then, ["_g", "_to", "to_pos"]).select("_g", SLICE, "pos", F.col("_far").alias("_to"), F.col("far_pos").alias("to_pos")), "jump")
+    reached = nodes.filter("pos = 0").join(nodes.groupBy("_g").agg(F.min(SLICE).alias(SLICE)), ["_g", SLICE]).select("_g", SLICE, "pos")
+    for jump in reversed(jumps):
+        onward = jump.join(reached, ["_g", SLICE, "pos"], "left_semi").select("_g", F.col("_to").alias(SLICE), F.col("to_pos").alias("pos"))
+        reached = materialise(reached.unionByName(onward), "reached")
+    begins = reached.filter("pos >= 0").join(nodes.select("_g", SLICE, "pos", "entry"), ["_g", SLICE, "pos"]).select("_g", SLICE, "entry")
+
+    def follow(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("_t")
+        t = f["_t"].to_numpy()
+        at, i, kept = nexts(t).tolist(), int(np.searchsorted(t, f["entry"].iloc[0])), []
+        while i < len(t):
+            kept.append(i)
+            i = at[i]
+        return f[["_id"]].iloc[kept]
+
+    return (rows.join(begins, ["_g", SLICE]).groupBy("_g", SLICE).applyInPandas(follow, T.StructType([T.StructField("_id", instants.schema[tie].dataType)]))
+            .withColumnRenamed("_id", tie))
+
+
 # ── sequential folds ─────────────────────────────────────────────────────────
 
 Fold = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
@@ -230,8 +315,7 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, width: float, warmup
                out_schema: T.StructType, order: Sequence[str] = (),
                settle: Callable[[object, float], object] | None = None,
                summary: Callable[[pd.DataFrame], object] | None = None,
-               advance: Callable[[object, object], object] | None = None,
-               max_rounds: int = 10_000) -> DataFrame:
+               advance: Callable[[object, object], object] | None = None) -> DataFrame:
     """Run a deterministic sequential fold over each key, one task per time slice.
 
     ``fold(rows, state) -> (output rows, state)`` sees the rows of one slice in
@@ -279,7 +363,7 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, width: float, warmup
                     for r in out.to_dict("records")]
         return pd.DataFrame(records, columns=[f.name for f in packed.fields])
 
-    rows = sliced(df, ts, width, back=warmup)
+    rows = materialise(sliced(df, ts, width, back=warmup), "slices")
     # A slice with context copies only has nothing to emit.
     first = lambda key, pdf: (run(pdf, None, key[:-1], int(key[-1]), 0) if pdf[HOME].any()
                               else pd.DataFrame(columns=[f.name for f in packed.fields]))
@@ -309,7 +393,9 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, width: float, warmup
     def rerun(rnd: int):
         return lambda key, pdf: run(pdf.drop(columns="_e"), pdf["_e"].iloc[0], key[:-1], int(key[-1]), rnd)
 
-    for rnd in range(1, max_rounds):
+    rnd = 0
+    while True:  # each round settles at least the first open slice of every key
+        rnd += 1
         ends = newest(parts, keys).filter(F.col("_in").isNotNull()).select(*keys, SLICE, "_in", "_out", "_summary")
         redo = materialise(ends.groupBy(*keys).applyInPandas(resolve, plan_schema), "redo")
         if redo.isEmpty():
@@ -318,8 +404,6 @@ def carry_scan(df: DataFrame, keys: Sequence[str], ts: str, width: float, warmup
                  .groupBy(*keys, SLICE)
                  .applyInPandas(rerun(rnd), packed))
         parts.append(materialise(again, "scan"))
-    else:
-        raise RuntimeError("carry_scan did not settle")
     return newest(parts, keys).filter(F.col("_row").isNotNull()).select("_row.*")
 
 

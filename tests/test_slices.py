@@ -35,6 +35,23 @@ def test_min_gap(rows):
         assert {r.event_id for r in inc.min_gap(rows, ["k"], "t", 7.0, "event_id", width).collect()} == want
 
 
+@pytest.mark.parametrize("n", [2400, 38400])
+def test_min_gap_of_a_steady_source_takes_few_rounds(spark, monkeypatch, n):
+    written = []
+    plain = slices.materialise
+    monkeypatch.setattr(slices, "materialise", lambda df, name="step": written.append(name) or plain(df, name))
+    steady = spark.range(n).select(F.col("id").alias("event_id"), F.lit("a").alias("k"), F.col("id").cast("double").alias("t"))
+    silent = steady.filter("event_id < 5 or event_id % 700 in (1, 3) or event_id > 2390")
+    for rows in (steady, silent):
+        ids = [r.event_id for r in rows.orderBy("t").collect()]
+        want = []
+        for i in ids:
+            if not want or i - want[-1] >= 12.0:
+                want.append(i)
+        assert sorted(r.event_id for r in inc.min_gap(rows, ["k"], "t", 12.0, "event_id", 120.0).collect()) == want
+    assert written.count("jump") + written.count("reached") <= 4 * (2 + np.log2(n / 120))
+
+
 def test_sessions_totals_and_asof(rows, spark):
     want, totals = {}, {}
     for k, seq in by_key().items():
