@@ -56,15 +56,25 @@ def screen_captions(captions: DataFrame, parity: bool = False) -> DataFrame:
     return (base.withColumn("_h", F.explode(F.array_compact(F.array(*hits)))).select(*captions.columns, "_h.*"))
 
 
-def signals(dets: DataFrame, preds: DataFrame | None = None) -> DataFrame:
-    """Per frame: classes seen, action labels, persons."""
-    seen = dets.groupBy("source", "frame_no", "t").agg(F.collect_set("cls").alias("classes"),
-                                                       F.count_if(F.col("cls") == "person").alias("people"))
+def signals(dets: DataFrame, preds: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """Per frame: classes seen, action labels, persons.
+
+    ``frames`` (source, frame_no, t) lists every processed frame: one where nothing was
+    found clears the signals of the frame before it. Without it, frames are those of
+    ``dets`` and, if they carry ``t``, of ``preds``.
+    """
+    key, none = ["source", "frame_no"], F.array().cast("array<string>")
+    seen = dets.groupBy(*key).agg(F.collect_set("cls").alias("classes"), F.count_if(F.col("cls") == "person").alias("people"))
+    if frames is None:
+        frames = dets.select(*key, "t")
+        if preds is not None and "t" in preds.columns:
+            frames = frames.unionByName(preds.select(*key, "t"))
+    every = frames.groupBy(*key).agg(F.min("t").alias("t")).join(seen, key, "left")
+    every = every.select(*key, "t", F.coalesce("classes", none).alias("classes"), F.coalesce("people", F.lit(0)).alias("people"))
     if preds is None:
-        return seen.withColumn("actions", F.array().cast("array<string>"))
-    acts = preds.groupBy("source", "frame_no").agg(F.collect_set("label").alias("actions"))
-    return (seen.join(acts, ["source", "frame_no"], "left")
-            .withColumn("actions", F.coalesce("actions", F.array().cast("array<string>"))))
+        return every.withColumn("actions", none)
+    acts = preds.groupBy(*key).agg(F.collect_set("label").alias("actions"))
+    return every.join(acts, key, "left").withColumn("actions", F.coalesce("actions", none))
 
 
 def corroborate(hits: DataFrame, sig: DataFrame, slice_s: float = 600.0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from framelore import dims
 from framelore.functions import expr
 from framelore.operators import slices
+from framelore.session import materialise
 
 
 def confusion(preds: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def cap_bank(bank: DataFrame, n: int = BANK_CAP, seed: int = 0, key: str = "vec_
 
 
 def hold_out(bank: DataFrame, spans: DataFrame, width: float = 60.0) -> DataFrame:
-    """Bank windows per evaluated span, without those whose source range overlaps it (open end = whole file).
+    """The bank windows that must not score a span: those of its video whose range overlaps it (open end = whole file).
 
     ``bank``: video, a, b, ...; ``spans``: span_id, video, start, end. Returns the
     pairs to *exclude*: a bank window is only ever near spans of its own video.
@@ -161,51 +162,54 @@ def hold_out(bank: DataFrame, spans: DataFrame, width: float = 60.0) -> DataFram
 
 
 def knn_distance(x: DataFrame, bank: DataFrame, k: int = 8, excluded: DataFrame | None = None, key: str = "vec_id",
-                 group: str = "span_id", bound: int = BANK_CAP) -> DataFrame:
-    """Mean cosine distance of each vector to its k nearest bank vectors.
-
-    The bank is a model of normality capped at ``bound`` windows. Up to that size
-    it travels to every task and each Arrow batch is one matrix product; a larger
-    bank is refused rather than broadcast. ``excluded`` lists (span_id, vec_id)
-    bank windows that must not score rows of that span.
+                 group: str = "span_id", block: int = 2000) -> DataFrame:
+    """Mean cosine distance of each vector to its k nearest bank vectors, at any size of the bank.
+
+    The bank is dealt into blocks of about ``block`` vectors, one row each; every batch
+    of vectors meets every block in one matrix product and keeps its k nearest of the
+    block, and the best of these are merged per vector. ``excluded`` lists (group, key)
+    pairs that must not score: as many more candidates as a group has of them are kept
+    for its rows, and the pairs are then removed by a join.
     """
-    spark = x.sparkSession
-    rows = bank.select(key, "embedding").limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"the bank holds more than {bound} windows: cap it with cap_bank")
-    ids = np.array([r[0] for r in rows])
-    m = np.array([r[1] for r in rows], dtype=float)
-    m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-8
-    barred: dict = {}
+    rows = materialise(x.withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
+    total = bank.count()
+    count = max(1, -(-total // block))
+    dealt = bank.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("_b"), F.struct(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).alias("_m"))
+    blocks = dealt.groupBy("_b").agg(F.collect_list("_m").alias("_m"))  # ``block`` vectors a row
+    wanted = F.lit(k)
+    asked = rows.select("_row", *([group] if excluded is not None else []), F.col("embedding").cast("array<double>").alias("_v"))
+    if excluded is not None:
+        barred = excluded.select(group, F.col(key).cast("long").alias("near")).distinct()
+        asked = asked.join(barred.groupBy(group).agg(F.count(F.lit(1)).alias("_more")), group, "left")
+        wanted = F.lit(k) + F.coalesce("_more", F.lit(0))
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.select("_row", "_v", wanted.cast("long").alias("_want")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("_b", F.col("_b").cast("long"))
+    # Every block is copied to as many tasks as there are shuffle partitions, each with its share of the rows.
+    met = asked.withColumn("_p", F.pmod("_row", F.lit(parts).cast("long")))
+
+    def nearest(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"_row": [], "near": [], "sim": []})
+        m = np.stack([r["v"] for r in right["_m"].iloc[0]])
+        ids = np.array([r["id"] for r in right["_m"].iloc[0]])
+        m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+        v = np.stack(left["_v"].to_numpy())
+        v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+        sim = v @ m.T
+        most = min(int(left["_want"].max()), len(ids))
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :most]
+        return pd.DataFrame({"_row": np.repeat(left["_row"].to_numpy(), most), "near": ids[at].ravel(), "sim": np.take_along_axis(sim, at, axis=1).ravel()})
+
+    spread = blocks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_p", F.col("_p").cast("long"))
+    found = (met.groupBy("_b", "_p").cogroup(spread.groupBy("_b", "_p"))
+             .applyInPandas(nearest, "_row long, near long, sim double"))
     if excluded is not None:
-        # Only spans of the bank's own videos can appear here, at most ``bound`` windows each.
-        per_span = excluded.groupBy(group).agg(F.collect_set(key).alias("ids")).limit(bound + 1).collect()
-        if len(per_span) > bound:
-            raise ValueError("too many held-out spans for one pass: evaluate them in parts")
-        barred = {r[group]: set(r["ids"]) for r in per_span}
-    shared = spark.sparkContext.broadcast((ids, m, barred))
-    cols = [c for c in x.columns if c != "embedding"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields if f.name != "embedding") + ", distance double"
-
-    def score(batches):
-        ids, m, barred = shared.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-8
-            sim = v @ m.T
-            take = np.full(len(pdf), min(k, m.shape[0]))
-            if barred:
-                for i, g in enumerate(pdf[group]):
-                    out = np.isin(ids, list(barred.get(g, ())))
-                    sim[i, out] = -np.inf
-                    take[i] = min(k, int((~out).sum()))
-            top = -np.sort(-sim, axis=1)
-            d = [1.0 - top[i, :n].mean() if n else np.nan for i, n in enumerate(take)]
-            yield pdf[cols].assign(distance=d)
-
-    return x.mapInPandas(score, schema)
+        found = found.join(rows.select("_row", group), "_row").join(barred, [group, "near"], "left_anti").select("_row", "near", "sim")
+    order = Window.partitionBy("_row").orderBy(F.desc("sim"), "near")
+    best = found.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).groupBy("_row").agg((1 - F.avg("sim")).alias("distance"))
+    none = F.lit(float("nan"))
+    return (rows.join(best, "_row", "left").withColumn("distance", F.coalesce("distance", none))
+            .select(*[c for c in x.columns if c != "embedding"], "distance"))
 
 
 def auc(scores: DataFrame, value: str = "score", label: str = "positive", width: float = 0.001) -> DataFrame:

@@ -119,7 +119,7 @@ def in_zones(persons: DataFrame, zones: list[dict]) -> DataFrame:
         hits.append(F.when(inside_polygon(x, y, poly), F.struct(F.lit(z.get("name", "restricted zone")).alias("zone"),
                                                                 F.lit(z.get("severity")).cast("string").alias("zone_severity"))))
     if not hits:
-        return persons.select(*FRAME, F.lit("").alias("zone"), F.lit("").alias("zone_severity"), "t", "det_id").limit(0)
+        return persons.select(*FRAME, F.lit("").alias("zone"), F.lit("").alias("zone_severity"), "t", "det_id", *expr.BOX).limit(0)
     found = persons.withColumn("_z", F.explode(F.array_compact(F.array(*hits))))
     return (found.groupBy(*FRAME, F.col("_z.zone").alias("zone"), F.col("_z.zone_severity").alias("zone_severity"))
             .agg(F.min_by(F.struct("t", "det_id", *expr.BOX), "det_id").alias("m"))

@@ -114,14 +114,25 @@ def weapon_events(dets: DataFrame, poses: DataFrame | None = None, cfg: RuleConf
                      rule="crime_tool_detection", detail=detail, ev=facts, subj=subject(F.lit("person"), person_box))
 
 
-def people_counts(dets: DataFrame, poses: DataFrame | None = None) -> DataFrame:
-    """Persons per frame: what the detector saw, and the larger of detector and pose."""
-    seen = dets.groupBy(*FRAME, "t").agg(F.count_if(F.col("cls") == "person").alias("detector_people"))
+def people_counts(dets: DataFrame, poses: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """Persons per frame: what the detector saw, and the larger of detector and pose.
+
+    ``frames`` (source, frame_no, t) lists every processed frame, so that one where
+    nothing was found counts 0. Without it, frames are those of ``dets`` and, if they
+    carry ``t``, of ``poses``.
+    """
+    seen = dets.groupBy(*FRAME).agg(F.count_if(F.col("cls") == "person").alias("_d"))
+    if frames is None:
+        frames = dets.select(*FRAME, "t")
+        if poses is not None and "t" in poses.columns:
+            frames = frames.unionByName(poses.select(*FRAME, "t"))
+    every = frames.groupBy(*FRAME).agg(F.min("t").alias("t")).join(seen, FRAME, "left")
+    detector = F.coalesce("_d", F.lit(0)).alias("detector_people")
     if poses is None:
-        return seen.withColumn("people", F.col("detector_people"))
+        return every.select(*FRAME, "t", detector).withColumn("people", F.col("detector_people"))
     posed = poses.groupBy(*FRAME).agg(F.count("*").alias("_p"))
-    return (seen.join(posed, FRAME, "left")
-            .select(*FRAME, "t", "detector_people", F.greatest("detector_people", F.coalesce("_p", F.lit(0))).alias("people")))
+    return (every.join(posed, FRAME, "left")
+            .select(*FRAME, "t", detector, F.greatest(F.coalesce("_d", F.lit(0)), F.coalesce("_p", F.lit(0))).alias("people")))
 
 
 def action_events(preds: DataFrame, people: DataFrame, cfg: RuleConfig = DEFAULTS) -> DataFrame:

@@ -5,8 +5,10 @@ by ``spark.checkpoint.dir`` so that a lost executor never loses work.
 """
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,26 @@ def build_session(app: str = "framelore", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the package to the executors, once a session: their Python need not have it on its path."""
+    context = spark.sparkContext
+    if getattr(context, "_framelore_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="framelore-package-"), "framelore.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._framelore_shipped = True
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -49,10 +70,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own sub-folder of the shared folder; it is deleted when the application ends."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/framelore-{spark.sparkContext.applicationId}"
+    if not getattr(spark.sparkContext, "_framelore_run", False):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        spark.sparkContext._framelore_run = True
+    return path
+
+
 def materialise(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Write once, read back: cuts lineage and gives the next plan real sizes."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

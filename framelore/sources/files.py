@@ -82,7 +82,7 @@ def read_box_labels(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     files = folders.mapInPandas(_list_text_files, "_key string, has_file boolean")
     lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
              .select(name(F.input_file_name()).alias("_key"), F.filter(F.split(expr.strip(F.col("value")), r"\s+"), lambda x: x != "").alias("f")).filter(F.size("f") > 1))
-    coords = F.transform(F.slice("f", 2, 10_000), lambda x: x.try_cast("double"))
+    coords = F.transform(F.slice("f", F.lit(2), F.size("f")), lambda x: x.try_cast("double"))
     lines = lines.select("_key", F.get("f", F.lit(0)).try_cast("double").cast("int").alias("class_id"), coords.alias("coords"))
     n = F.size("coords")
     ok = F.col("class_id").isNotNull() & ~F.exists("coords", lambda x: x.isNull()) & ((n == 4) | ((n >= 6) & (n % 2 == 0)))
@@ -164,9 +164,13 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def write_conv_log(df: DataFrame, path: str) -> None:
-    """Chat and vote records by date and type (chat, upvote, downvote, flag)."""
-    known = df.filter(F.col("type").isin("chat", "upvote", "downvote", "flag"))
-    known.withColumn("date", F.to_date("tstamp")).write.mode("append").partitionBy("date", "type").json(path)
+    """Chat and vote records by date and type (chat, upvote, downvote, flag).
+
+    Records of any other type go to the type ``quarantined`` with their own in ``given_type``.
+    """
+    known = F.coalesce(F.col("type").isin("chat", "upvote", "downvote", "flag"), F.lit(False))
+    kept = df.withColumn("given_type", F.when(~known, F.col("type"))).withColumn("type", F.when(known, F.col("type")).otherwise("quarantined"))
+    kept.withColumn("date", F.to_date("tstamp")).write.mode("append").partitionBy("date", "type").json(path)
 
 
 def list_videos(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,7 +17,8 @@ def test_file_sinks(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "sft"))[-2:] == ["split=holdout", "split=train"]
     log = spark.createDataFrame([("chat", 1.0), ("flag", 2.0), ("other", 3.0)], "type string, s double").withColumn("tstamp", F.timestamp_seconds("s"))
     files.write_conv_log(log, str(tmp_path / "conv"))
-    assert spark.read.json(str(tmp_path / "conv")).count() == 2
+    conv = spark.read.json(str(tmp_path / "conv"))
+    assert conv.count() == 3 and [r.given_type for r in conv.filter("type = 'quarantined'").collect()] == ["other"]
     for n in ("b.MP4", "a.mkv", "c.txt"):
         (tmp_path / n).write_bytes(b"123")
     assert [(r.name, r.size) for r in files.list_videos(spark, str(tmp_path / "*.*")).collect()] == [("a.mkv", 3), ("b.MP4", 3)]
