@@ -190,11 +190,12 @@ class Forest:
         return F.xxhash64(F.substring(F.concat("sig", "sig"), F.col("tree") * (4 * BASE) + 1, F.lit(4 * depth)))
 
     def members(self) -> DataFrame:
-        """(tree, key, id, n) of the regions of BASE depth that hold two classes or more, and the first class of each."""
+        """(tree, key, id, n) of the regions of BASE depth that hold two classes or more, the first class of each, and the longer prefixes."""
         trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
         rows = materialise(self.classes.select("id", "n", "sig", trees.alias("tree")).select("tree", self.prefix(BASE).alias("key"), "id", F.col("n").cast("int").alias("n")), "trees")
         regions = materialise(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep")).filter("size > 1"), "regions")
-        return materialise(rows.join(regions, ["tree", "key"]), "members")
+        found = rows.join(regions.select("tree", "key", "rep"), ["tree", "key"]).join(self.classes.select("id", "sig"), "id")
+        return materialise(found.select("tree", "key", "id", "n", "rep", *[self.prefix(d).alias(f"key{d}") for d in DEPTHS]), "members")
 
     def fits(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a < b) whose set sizes allow the similarity."""
@@ -220,7 +221,7 @@ class Forest:
 
     def open_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs of a region in different components, by longer prefixes where a region is crowded."""
-        rows = self.labelled(members.select("tree", "key", "id", "n"))
+        rows = self.labelled(members.drop("rep"))
         found = None
         for depth in (*DEPTHS, None):
             regions = (rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
@@ -240,8 +241,7 @@ class Forest:
                                                           F.col("n").alias("na"), F.col(f"{end}.n").alias("nb")))
             found = pairs if found is None else found.unionByName(pairs)
             if depth is not None:
-                rows = (rows.drop("key").join(self.classes.select("id", "sig"), "id")
-                        .select("tree", self.prefix(depth).alias("key"), "id", "n", "label"))
+                rows = rows.withColumn("key", F.col(f"key{depth}")).drop(f"key{depth}")
         return self.fits(found)
 
     def grow(self) -> "Forest":
