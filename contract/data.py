@@ -344,7 +344,7 @@ SELECT span_id, incident, count(*) AS windows, round(max(distance), 6) AS "max",
     lambda T: me.span_scores(distances(T).select((F.col("vec_id") % 20).alias("span_id"), (F.col("label") == 0).alias("incident"), "distance"))
     .select("span_id", "incident", "windows", F.round("max", 6).alias("max"), F.round("median", 6).alias("median"), (F.col("incident") & (F.col("median") > F.col("normal_median") + 1e-12)).alias("above_normal")))
 R.query("hold_out", """
-WITH b AS (SELECT vec_id, label % 5 AS video, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE vec_id % 40 END AS a, vec_id % 40 + 3 AS b FROM embeddings WHERE label >= 2), s AS (SELECT vec_id AS span_id, vec_id % 5 AS video, vec_id % 30 AS st FROM embeddings WHERE label = 0)
+WITH b AS (SELECT vec_id, label % 5 AS video, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE vec_id % 40 END AS a, vec_id % 40 + 3 AS b FROM embeddings), s AS (SELECT vec_id AS span_id, vec_id % 5 AS video, vec_id % 30 AS st FROM embeddings)
 SELECT s.span_id, b.vec_id FROM b JOIN s ON s.video = b.video WHERE a IS NULL OR (a < st + 5 AND b > st)""")(
-    lambda T: me.hold_out(T.embeddings.filter("label >= 2").select("vec_id", (F.col("label") % 5).cast("long").alias("video"), F.when(F.col("vec_id") % 9 != 0, F.col("vec_id") % 40).alias("a"), (F.col("vec_id") % 40 + 3).alias("b")),
-                          T.embeddings.filter("label = 0").select(F.col("vec_id").alias("span_id"), (F.col("vec_id") % 5).alias("video"), (F.col("vec_id") % 30).alias("start"), (F.col("vec_id") % 30 + 5).alias("end"))).select("span_id", "vec_id"))
+    lambda T: me.hold_out(T.embeddings.select("vec_id", (F.col("label") % 5).cast("long").alias("video"), F.when(F.col("vec_id") % 9 != 0, F.col("vec_id") % 40).alias("a"), (F.col("vec_id") % 40 + 3).alias("b")),
+                          T.embeddings.select(F.col("vec_id").alias("span_id"), (F.col("vec_id") % 5).alias("video"), (F.col("vec_id") % 30).alias("start"), (F.col("vec_id") % 30 + 5).alias("end"))).select("span_id", "vec_id"))

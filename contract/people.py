@@ -82,20 +82,20 @@ R.query("registry_stats", with_views("""SELECT count(*) AS total, count(*) FILTE
  count(*) FILTER (entity_id IN (SELECT entity_id FROM links)) AS with_incidents FROM ents""", "ents", "links"))(lambda T: idn.registry_stats(T.ents, T.links))
 R.query("list_entities", with_views("SELECT entity_id, label FROM ents WHERE kind = 'vehicle' AND entity_id IN (SELECT entity_id FROM links) ORDER BY c_acctbal DESC, entity_id LIMIT 200", "ents", "links"))(
     lambda T: idn.list_entities(ents(T), T.links, "vehicle", True).select("entity_id", "label"))
-R.query("linked_entities", with_views("SELECT entity_id, kind FROM ents WHERE entity_id IN (SELECT entity_id FROM alerts WHERE severity = 'critical' AND area = 'area_3')", "ents", "alerts"))(
-    lambda T: idn.linked_entities(T.alerts.filter("severity = 'critical' AND area = 'area_3'").select("event_id", F.array(F.struct("entity_id")).alias("entities")), T.ents).select("entity_id", "kind"))
-R.query("link_incident", with_views("SELECT entity_id, event_id, 'seen' AS role, severity FROM links WHERE severity = 'high' UNION ALL SELECT entity_id, event_id, 'involved', severity FROM alerts WHERE severity = 'low'", "links", "alerts"))(
-    lambda T: idn.link_incident(T.links.filter("severity = 'high'").select("entity_id", "event_id", F.lit("seen").alias("role"), "severity"),
-                                T.alerts.select("event_id", "severity"), T.alerts.filter("severity = 'low'").select("entity_id", "event_id", F.lit("involved").alias("role"))))
+R.query("linked_entities", with_views("SELECT entity_id, kind FROM ents WHERE entity_id IN (SELECT entity_id FROM alerts)", "ents", "alerts"))(
+    lambda T: idn.linked_entities(T.alerts.select("event_id", F.array(F.struct("entity_id")).alias("entities")), T.ents).select("entity_id", "kind"))
+R.query("link_incident", with_views("SELECT entity_id, event_id, 'seen' AS role, severity FROM links UNION ALL SELECT entity_id, event_id, 'involved', severity FROM alerts", "links", "alerts"))(
+    lambda T: idn.link_incident(T.links.select("entity_id", "event_id", F.lit("seen").alias("role"), "severity"),
+                                T.alerts.select("event_id", "severity"), T.alerts.select("entity_id", "event_id", F.lit("involved").alias("role"))))
 R.query("forget", with_views("SELECT entity_id, event_id FROM links WHERE entity_id NOT IN (SELECT entity_id FROM ents WHERE c_acctbal < 0)", "links", "ents"))(
     lambda T: idn.forget(T.links, T.ents.filter("c_acctbal < 0")).select("entity_id", "event_id"))
 R.query("prune", with_views("SELECT entity_id FROM ents WHERE c_acctbal >= 4000 OR entity_id IN (SELECT entity_id FROM links WHERE severity = 'critical')", "ents", "links"))(
     lambda T: idn.prune(ents(T), T.links.filter("severity = 'critical'"), F.lit(4000.0)).select("entity_id"))
-R.query("add_note", with_views("SELECT e.entity_id, coalesce(string_agg('event ' || event_id, '; ' ORDER BY event_id), '') AS notes FROM ents e LEFT JOIN links l ON l.entity_id = e.entity_id AND l.severity = 'high' GROUP BY e.entity_id", "ents", "links"))(
-    lambda T: idn.add_note(T.ents.withColumn("notes", F.array().cast("array<string>")), T.links.filter("severity = 'high'").select("entity_id", F.col("event_id").alias("note_no"),
+R.query("add_note", with_views("SELECT e.entity_id, coalesce(string_agg('event ' || event_id, '; ' ORDER BY event_id), '') AS notes FROM ents e LEFT JOIN links l ON l.entity_id = e.entity_id GROUP BY e.entity_id", "ents", "links"))(
+    lambda T: idn.add_note(T.ents.withColumn("notes", F.array().cast("array<string>")), T.links.select("entity_id", F.col("event_id").alias("note_no"),
                            F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("note"))).select("entity_id", F.array_join("notes", "; ").alias("notes")))
-R.query("set_plate", with_views("SELECT e.entity_id, coalesce((SELECT 'N' || max(event_id) FROM links l WHERE l.entity_id = e.entity_id AND l.severity = 'low'), e.plate) AS plate FROM ents e", "ents", "links"))(
-    lambda T: idn.set_plate(T.ents.withColumn("plate_confidence", F.lit(None).cast("double")), T.links.filter("severity = 'low'").select("entity_id", F.concat(F.lit("N"), F.col("event_id").cast("string")).alias("plate"),
+R.query("set_plate", with_views("SELECT e.entity_id, coalesce((SELECT 'N' || max(event_id) FROM links l WHERE l.entity_id = e.entity_id), e.plate) AS plate FROM ents e", "ents", "links"))(
+    lambda T: idn.set_plate(T.ents.withColumn("plate_confidence", F.lit(None).cast("double")), T.links.select("entity_id", F.concat(F.lit("N"), F.col("event_id").cast("string")).alias("plate"),
                             F.lit(0.9).alias("plate_confidence"), F.col("event_id").alias("read_no"))).select("entity_id", "plate"))
 
 # ── routing: cameras are nations, recipients are suppliers ───────────────────

@@ -110,9 +110,9 @@ FROM ({ZONE_SQL}) z GROUP BY ALL""", "det"))(
     lambda T: rules.zone_events(T.det, ZONES).select("source", "frame_no", "type", "severity", "label", "score"))
 
 # ── weapon rule: pose is known for even sources only, so every branch is used ──
-WEAPON_SQL = "WITH " + TOOL_SQL + "," + HANDS_SQL.format(tol=0.18).replace("FROM pose WHERE", "FROM pose WHERE source % 2 = 0 AND") + "," + \
+WEAPON_SQL = "WITH " + TOOL_SQL + "," + HANDS_SQL.format(tol=0.18) + "," + \
     CARRY_SQL.format(loose="(SELECT * FROM tools WHERE det_id NOT IN (SELECT det_id FROM grips))") + "," + NEAR_SQL + """,
-posed AS (SELECT DISTINCT source, frame_no, TRUE AS hp FROM pose WHERE source % 2 = 0),
+posed AS (SELECT DISTINCT source, frame_no, TRUE AS hp FROM pose),
 w AS (SELECT t.source, t.frame_no, t.det_id, 0.85 * t.confidence AS base, g.d, round(1 - g.d / g.lim, 3) AS grip, c.frac,
              CASE WHEN pd <= 0.25 THEN pd END AS pd, coalesce(hp, FALSE) AS hp
       FROM tools t LEFT JOIN grips g ON g.det_id = t.det_id LEFT JOIN carry c ON c.det_id = t.det_id LEFT JOIN prox p ON p.det_id = t.det_id
@@ -126,7 +126,7 @@ SELECT source, frame_no,
             WHEN pd IS NOT NULL AND NOT hp THEN base + 0.15 WHEN pd IS NOT NULL THEN base * 0.85 ELSE base * 0.8 END) + 1e-9, 3) AS score
 FROM w"""
 R.query("weapon_events", with_views(WEAPON_SQL, "det", "pose"))(
-    lambda T: rules.weapon_events(T.det, poses(T).filter("source % 2 = 0")).select("source", "frame_no", "type", "severity", "score"))
+    lambda T: rules.weapon_events(T.det, poses(T)).select("source", "frame_no", "type", "severity", "score"))
 
 ACTION_SQL = """WITH m(label, type, base, two, sev, bar) AS (VALUES ('punching/slapping', 'violence', 0.90::DOUBLE, TRUE, 'critical', 0.40::DOUBLE),
   ('touch pocket', 'pickpocket', 0.80, TRUE, 'high', 0.25), ('shake fist', 'altercation', 0.30, FALSE, 'low', 0.40)),

@@ -160,9 +160,14 @@ def linked_entities(events: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.join(ids, "entity_id", "left_semi")
 
 
-def link_incident(links: DataFrame, events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Append (entity_id, event_id, role) pairs with the fields a reviewer needs; unknown events are not linked."""
+def link_incident(links: DataFrame, events: DataFrame, pairs: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Append (entity_id, event_id, role) pairs with the fields a reviewer needs.
+
+    Pairs of an unknown event are not linked, nor, with ``entities``, those of an unknown entity.
+    """
     new = pairs.join(events, "event_id").select(*links.columns)
+    if entities is not None:
+        new = new.join(entities.select("entity_id"), "entity_id", "left_semi").select(*links.columns)
     return links.unionByName(new)
 
 
