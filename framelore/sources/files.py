@@ -193,20 +193,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def save_registry(df: DataFrame, root: str) -> str:
-    """A new snapshot, then a pointer to it: a crash in between leaves the old registry in force."""
+def save_registry(df: DataFrame, root: str, batch: int | None = None) -> str:
+    """A new snapshot, then a pointer to it: a crash in between leaves the old registry in force.
+
+    ``batch`` is the number of the stream's batch that it includes last.
+    """
     spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{name}")
-    spark.createDataFrame([(name,)], "snapshot string").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/current")
+    spark.createDataFrame([(name, batch)], "snapshot string, batch long").withColumn("saved_at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{root}/current")
     return name
 
 
-def load_registry(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame | None:
-    """The newest snapshot, or None if there is none."""
+def load_registry(spark: SparkSession, root: str, schema: str | None = None, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot (of those without batch ``before`` and later ones), or None if there is none."""
     if not _exists(spark, f"{root}/current"):
         return None
-    name = spark.read.schema("snapshot string, saved_at timestamp").json(f"{root}/current").agg(F.max_by("snapshot", "saved_at")).first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+    known = spark.read.schema("snapshot string, saved_at timestamp, batch long").json(f"{root}/current")
+    if before is not None:
+        known = known.filter(F.coalesce(F.col("batch") < before, F.lit(True)))
+    name = known.agg(F.max_by("snapshot", "saved_at")).first()[0]
+    return None if name is None else spark.read.parquet(f"{root}/{name}")
 
 
 def read_feed(spark: SparkSession, path: str, schema: str = schemas.FEED, files_per_batch: int = 100) -> DataFrame:

@@ -150,10 +150,10 @@ def contact_stream(touches: DataFrame, cfg: RuleConfig = DEFAULTS) -> DataFrame:
                     start, frames, done = None, 0, False
                 if start is None:
                     start, frames, done = t, 0, False
-                if not done and t - start <= cfg.collision_settle_s:
-                    frames += 1
-                elif not done:
-                    settle()
+                if not done:
+                    frames += 1  # the judging frame counts too
+                    if t - start >= cfg.collision_settle_s:
+                        settle()
                 last = t
             state.update((start, last, frames, done))
             state.setTimeoutTimestamp(_later(state, (last + cfg.collision_silence_s) if done else start + cfg.collision_settle_s))
@@ -178,20 +178,23 @@ def corroborate_stream(hits: DataFrame, signals: DataFrame, bound: str = "5 seco
 
 
 def registry_stream(sightings: DataFrame, root: str, **kw) -> Callable:
-    """A ``foreachBatch`` function that enrols and matches sightings and writes a new registry snapshot."""
+    """A ``foreachBatch`` function that enrols and matches sightings and writes a new registry snapshot.
+
+    A retried batch starts from the registry before it and replaces its own links.
+    """
     from framelore.operators import identity
 
-    def apply(batch: DataFrame, _no: int) -> None:
+    def apply(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        links, reg = identity.resolve_entities(batch, files.load_registry(spark, root), **kw)
-        files.append_log(links, f"{root}/links")
-        old = files.load_registry(spark, root)
+        old = files.load_registry(spark, root, before=no)
+        links, reg = identity.resolve_entities(batch, old, **kw)
+        links.write.mode("overwrite").parquet(f"{root}/links/batch={no}")
         reg = reg.withColumn("first_seen", F.timestamp_seconds("first_t")).withColumn("last_seen", F.timestamp_seconds("last_t")).drop("first_t", "last_t")
         if old is not None and "first_seen" in old.columns:
             seen = old.select("entity_id", F.col("first_seen").alias("_f"), F.col("last_seen").alias("_l"))
             reg = (reg.join(seen, "entity_id", "left").withColumn("first_seen", F.coalesce("_f", "first_seen"))
                    .withColumn("last_seen", F.coalesce("last_seen", "_l")).drop("_f", "_l"))
-        files.save_registry(reg, root)
+        files.save_registry(reg, root, no)
     return apply
 
 
