@@ -253,7 +253,7 @@ R.query("build_sft_records", with_views(f"""
 WITH n AS (SELECT item_id, category, CASE WHEN category IN ({KNOWN}) THEN category ELSE coalesce(CASE replace(lower(category), ' ', '_') {ALIAS} END, 'Normal') END AS target_category,
   NOT (category IN ({KNOWN}) OR (CASE replace(lower(category), ' ', '_') {ALIAS} END) IS NOT NULL) AS unrecognised FROM items)
 SELECT item_id, category, n.target_category, response, unrecognised FROM n JOIN (VALUES {TGT}) t(target_category, response) ON t.target_category = n.target_category""", "items"))(
-    lambda T: ds.build_sft_records(T.items, cap=10**6).select("item_id", "category", "target_category", "response", "unrecognised"))
+    lambda T: ds.build_sft_records(T.items).select("item_id", "category", "target_category", "response", "unrecognised"))
 
 # ── embeddings as clip features, predictions, thumbnails ─────────────────────
 add_view("thumbs", ["embeddings"], "SELECT vec_id AS frame_id, vec_id % 4 AS source, CAST(floor(vec_id / 4) AS DOUBLE) AS t, label FROM embeddings")
@@ -272,7 +272,7 @@ r AS (SELECT source, k, frame_id, vec, TRUE AS keep FROM v WHERE k = 1
 SELECT source, frame_id FROM r WHERE keep""", "thumbs", recursive=True))(lambda T: ds.drop_near_duplicates(thumbs(T), 2.5).select("source", "frame_id"))
 R.query("mine_negatives")(lambda T: ds.mine_negatives(
     thumbs(T), T.thumbs.groupBy("source").agg(F.min("t").alias("from_t"), F.max("t").alias("to_t")),
-    T.thumbs.filter("label = 0").select("source", F.col("t").alias("start"), (F.col("t") + 1).alias("end")), 2.0, 400, 2.5).drop("vec"))
+    T.thumbs.filter("label = 0").select("source", F.col("t").alias("start"), (F.col("t") + 1).alias("end")), 2.0, None, 2.5).drop("vec"))
 add_view("preds", ["lineitem"], """SELECT l_orderkey * 10 + l_linenumber AS clip_id, l_partkey % 8 AS y_true, (l_partkey + CASE WHEN l_suppkey % 4 = 0 THEN 1 ELSE 0 END) % 8 AS y_pred, l_tax AS loss FROM lineitem""")
 R.query("confusion", with_views("SELECT y_true, y_pred, count(*) AS n FROM preds GROUP BY ALL", "preds"))(lambda T: me.confusion(T.preds))
 CMX = """s AS (SELECT y_true AS cls, count(*) AS support, count(*) FILTER (y_true = y_pred) AS tp FROM preds GROUP BY y_true), q AS (SELECT y_pred AS cls, count(*) AS predicted FROM preds GROUP BY y_pred),

@@ -50,7 +50,7 @@ R.query("eval_format", with_views(f"""
 WITH a AS (SELECT source AS span_id, CASE WHEN source % 2 = 0 THEN 'normal' ELSE 'theft' END AS label, caption_id, {VERDICT} AS v,
                   row_number() OVER (PARTITION BY source ORDER BY caption_id) AS n FROM cap)
 SELECT span_id, label, label <> 'normal' AS incident, count(*) FILTER (v <> 'malformed' AND (v = 'flagged') = (label <> 'normal')) AS correct,
-       count(*) FILTER (v <> 'malformed') AS judged, count(*) FILTER (v = 'malformed') AS malformed FROM a WHERE n <= 15 GROUP BY ALL""", "cap"))(
+       count(*) FILTER (v <> 'malformed') AS judged, count(*) FILTER (v = 'malformed') AS malformed FROM a GROUP BY ALL""", "cap"))(
     lambda T: cap.eval_format(T.cap.select(F.col("source").alias("span_id"), F.when(F.col("source") % 2 == 0, "normal").otherwise("theft").alias("label"),
                                            F.col("caption_id").alias("answer_no"), "text")).drop("accuracy"))
 
@@ -103,7 +103,7 @@ SELECT event_id, source, t, CASE user_id % 5 WHEN 0 THEN 'weapon_brandished' WHE
 R.query("verify_events", with_views("""
 WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, event_id) AS k FROM ver WHERE type IN ('weapon_brandished', 'weapon_carried')),
 v AS (SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'yes' WHEN 4 THEN 'yes' WHEN 2 THEN 'no' WHEN 6 THEN 'unavailable' ELSE 'unclear' END AS verdict,
-             CASE user_id % 7 WHEN 0 THEN 'handgun' WHEN 4 THEN 'machete' END AS item FROM n WHERE k <= 30)
+             CASE user_id % 7 WHEN 0 THEN 'handgun' WHEN 4 THEN 'machete' END AS item FROM n)
 SELECT e.event_id, v.verdict, v.item, round(least(1, greatest(0, CASE verdict WHEN 'yes' THEN score + 0.12 WHEN 'no' THEN score - 0.15 ELSE score END)) + 1e-9, 3) AS score,
        detail || CASE verdict WHEN 'yes' THEN ' — VLM confirms: ' || item WHEN 'no' THEN ' — VLM saw nothing in their hands' ELSE '' END AS detail
 FROM ver e LEFT JOIN v USING (event_id)""".replace("ELSE '' END AS detail", "ELSE '' END AS detail"), "ver"))(

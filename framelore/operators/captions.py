@@ -117,14 +117,16 @@ def format_verdict(text: Column) -> Column:
     return (F.when(~matches(text, dims.INCIDENT_LINE), "malformed").when(matches(answer, dims.NO_INCIDENT), "none").otherwise("flagged"))
 
 
-def eval_format(answers: DataFrame, cap: int = 15) -> DataFrame:
+def eval_format(answers: DataFrame, cap: int | None = None) -> DataFrame:
     """How often answers follow the format and agree with the span's label.
 
-    ``answers``: span_id, label, answer_no, text. The first ``cap`` answers of a
-    span count, as the evaluation samples at most that many frames.
+    ``answers``: span_id, label, answer_no, text. With ``cap``, only the first
+    answers of a span count, as where the evaluation samples so many frames.
     """
-    w = Window.partitionBy("span_id").orderBy("answer_no")
-    used = answers.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    used = answers
+    if cap is not None:
+        w = Window.partitionBy("span_id").orderBy("answer_no")
+        used = answers.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
     v = used.withColumn("verdict", format_verdict(F.col("text"))).withColumn("incident", F.lower("label") != "normal")
     right = (F.col("verdict") == "flagged") == F.col("incident")
     ok = F.col("verdict") != "malformed"
@@ -159,14 +161,16 @@ def verification(text: Column) -> Column:
             .when(item(t).isNotNull(), out("yes", item(t))).otherwise(out("unclear")))
 
 
-def verify_events(events: DataFrame, answers: DataFrame, cap: int = 30) -> DataFrame:
+def verify_events(events: DataFrame, answers: DataFrame, cap: int | None = None) -> DataFrame:
     """Adjust the first ``cap`` weapon events of each source by a second look; never decide by it.
 
     ``answers``: event_id, text. Floors are not applied again afterwards.
     """
     asked = events.filter(F.col("type").isin(dims.VERIFIED_TYPES))
-    w = Window.partitionBy("source").orderBy("t", "event_id")
-    first = asked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).select("event_id")
+    first = asked.select("event_id")
+    if cap is not None:  # a budget of questions per source
+        w = Window.partitionBy("source").orderBy("t", "event_id")
+        first = asked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).select("event_id")
     checked = first.join(answers.select("event_id", verification(F.col("text")).alias("verification")), "event_id", "left")
     checked = checked.withColumn("verification", F.coalesce("verification", F.struct(F.lit("unavailable").alias("verdict"), F.lit(None).cast("string").alias("item"))))
     v = F.col("verification.verdict")

@@ -194,10 +194,7 @@ def pick_candidates(windows: DataFrame, pct: float = 90.0, top: int = 15, normal
     cut = slices.quantile_at(windows, ["source"], "score", {"cutoff": pct / 100.0}, bin_width)
     w = windows.join(cut, "source")
     strong = merge_windows(w.filter(F.col("score") >= F.col("cutoff")).drop("cutoff"), max_span=max_span)
-    low = Window.partitionBy("source").orderBy("score", F.desc("start"))
-    quiet = (w.filter((F.col("people_max") >= 1) & (F.col("score") < F.col("cutoff"))).withColumn("_n", F.row_number().over(low))
-             .filter(F.col("_n") <= normals * 4).drop("_n", "cutoff"))
-    quiet = merge_windows(quiet, max_span=max_span)
+    quiet = merge_windows(w.filter((F.col("people_max") >= 1) & (F.col("score") < F.col("cutoff"))).drop("cutoff"), max_span=max_span)
 
     def best(df, n, label):
         r = Window.partitionBy("source").orderBy(F.desc("score"), "start")
@@ -245,7 +242,7 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) ->
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def mine_negatives(frames: DataFrame, trusted: DataFrame, spans: DataFrame, every: float = 2.0, cap: int = 400, thr: float = 6.0) -> DataFrame:
+def mine_negatives(frames: DataFrame, trusted: DataFrame, spans: DataFrame, every: float = 2.0, cap: int | None = None, thr: float = 6.0) -> DataFrame:
     """Clean frames for training: sampled from trusted stretches, away from incidents, without near copies.
 
     ``frames``: source, frame_id, t, vec; ``trusted``: source, from_t, to_t;
@@ -257,7 +254,9 @@ def mine_negatives(frames: DataFrame, trusted: DataFrame, spans: DataFrame, ever
     step = F.floor((F.col("t") - F.col("from_t")) / every + 1e-9)
     sampled = at.groupBy("source", "from_t", step.alias("_k")).agg(F.min_by(F.struct(*frames.columns), F.struct("t", "frame_id")).alias("f")).select("f.*").dropDuplicates(["frame_id"])
     clean = exclude_incident_time(sampled, spans, 1.0, ["source"])
-    kept = first_n(drop_near_duplicates(clean, thr), ["source"], ["t", "frame_id"], cap)
+    kept = drop_near_duplicates(clean, thr)
+    if cap is not None:
+        kept = first_n(kept, ["source"], ["t", "frame_id"], cap)
     return kept.withColumn("split", F.lit("train")).withColumn("label_text", F.lit(""))
 
 
@@ -307,8 +306,8 @@ def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str] = ()) -> DataFrame:
     return df.orderBy(F.desc(by), *tie).limit(k)
 
 
-def build_sft_records(images: DataFrame, cap: int = 1000, normal_cap: int | None = None, holdout: float = 0.15, seed: int = 0) -> DataFrame:
-    """Fine-tuning records: category → prompt and two-line target, capped per category and split.
+def build_sft_records(images: DataFrame, cap: int | None = None, normal_cap: int | None = None, holdout: float = 0.15, seed: int = 0) -> DataFrame:
+    """Fine-tuning records: category → prompt and two-line target, split, and capped per category if asked.
 
     ``images``: item_id, category. Spelling variants map to their category;
     unknown categories are treated as normal and marked.
@@ -319,6 +318,6 @@ def build_sft_records(images: DataFrame, cap: int = 1000, normal_cap: int | None
     named = images.withColumn("_known", known | variant.isNotNull()).withColumn(
         "target_category", F.when(known, F.col("category")).otherwise(F.coalesce(variant, F.lit("Normal"))))
     t = named.join(F.broadcast(dims.category_targets(spark)), "target_category")
-    capped = cap_per_category(t, cap, normal_cap, seed, normal=F.col("is_normal"))
+    capped = t if cap is None else cap_per_category(t, cap, normal_cap, seed, normal=F.col("is_normal"))
     return (split(capped, {"holdout": holdout}, seed + 1).withColumn("prompt", F.lit(dims.FRAME_PROMPT))
             .select("item_id", "category", "target_category", "prompt", "response", "split", "is_normal", (~F.col("_known")).alias("unrecognised")))
