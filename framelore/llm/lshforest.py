@@ -193,7 +193,7 @@ class Forest:
         """(tree, key, id, n) of the regions of BASE depth that hold two classes or more, the first class of each, and the longer prefixes."""
         trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
         rows = materialise(self.classes.select("id", "n", "sig", trees.alias("tree")).select("tree", self.prefix(BASE).alias("key"), "id", F.col("n").cast("int").alias("n")), "trees")
-        regions = materialise(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep")).filter("size > 1"), "regions")
+        regions = materialise(rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("rep")).filter("size > 1"), "regions")
         found = rows.join(regions.select("tree", "key", "rep"), ["tree", "key"]).join(self.classes.select("id", "sig"), "id")
         return materialise(found.select("tree", "key", "id", "n", "rep", *[self.prefix(d).alias(f"key{d}") for d in DEPTHS]), "members")
 
@@ -246,9 +246,8 @@ class Forest:
 
     def grow(self) -> "Forest":
         members = self.members()
-        stars = members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), "n")
-        sizes = self.classes.select(F.col("id").alias("a"), F.col("n").alias("na"))
-        self.test(self.fits(stars.withColumnRenamed("n", "nb").distinct().join(sizes, "a")))
+        stars = members.filter("id <> rep.id").select(F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
+        self.test(self.fits(stars))
         while True:
             pairs = materialise(self.open_pairs(members).join(self.tested, ["a", "b"], "left_anti"), "more")
             if pairs.isEmpty():
