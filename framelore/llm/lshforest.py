@@ -14,6 +14,12 @@ different components, so no group is ever expanded into all its pairs. In a crow
 region of full depth the test is against its first and last class of another component. With 32 trees of
 4 values, a pair of similarity 0.8 has no common region with a chance of 5e-8.
 
+What the crowded regions leave is found exactly, by a prefix-filter join of all their
+classes: shingles are put in one order, rare ones first, and two sets of the wanted
+similarity share one of the first ``n - least common + 1``. Rarity is counted in a table of
+``SLOTS`` slots; shingles that share a slot only make the order less sharp. Sizes and
+positions rule out most pairs in the join; the rest are confirmed on the full sets.
+
 Defined cases: null and empty texts, and texts of white space alone, have an empty
 set and are linked with nothing; fewer words than ``width`` make one shingle; equal
 texts are linked; repeated rows get equal results; a null id is never a
@@ -35,6 +41,8 @@ VALUES, BASE = 128, 4
 TREES = VALUES // BASE
 DEPTHS = (8, 16, 32)
 CROWD = 16
+SLOTS = 1 << 20
+HOT = 1000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -157,6 +165,48 @@ def count_common(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, TESTED)
 
 
+def count_slots(sets: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall into each of SLOTS slots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles"):
+                np.add.at(seen, np.frombuffer(x.as_buffer(), "<u8") % np.uint64(SLOTS), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(SLOTS, np.int64)
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return table
+
+
+HEADS = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType()),
+                      T.StructField("rest", T.LongType())])
+
+
+def heads(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, label, n, shingle, rest) of the rarest shingles of each set; ``rest`` counts the set's shingles from there on."""
+    often = count_slots(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "shingles"):
+                rare, sizes = [], []
+                for x in batch.column("shingles"):
+                    x = np.frombuffer(x.as_buffer(), "<u8")
+                    rare.append(x[np.lexsort((x, often[x % np.uint64(SLOTS)]))[:len(x) - -(-percent * len(x) // 100) + 1]])
+                    sizes.append(len(x))
+                each = [len(x) for x in rare]
+                rest = [n - np.arange(m) for n, m in zip(sizes, each)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(batch.column("id").to_numpy(), each), pa.int64()), pa.array(np.repeat(batch.column("label").to_numpy(), each), pa.int64()),
+                    pa.array(np.repeat(sizes, each), pa.int64()), pa.array(np.concatenate([*rare, np.zeros(0, "<u8")]).astype("<u8").view("<i8"), pa.int64()),
+                    pa.array(np.concatenate([*rest, np.zeros(0, np.int64)]), pa.int64())], names=HEADS.names)
+
+    return sets.select("id", "label", "shingles").mapInArrow(run, HEADS)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each end of a link reaches. Smallest labels spread, and labels jump to their label's label."""
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -201,14 +251,17 @@ class Forest:
         """Pairs (a < b) whose set sizes allow the similarity."""
         return pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).select("a", "b").distinct()
 
-    def test(self, pairs: DataFrame) -> None:
-        """Confirms pairs on the full sets; texts are read only for the classes in question."""
-        pairs = materialise(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = materialise(self.classes.select("id", "doc_id", "fp").join(ends, "id", "left_semi"), "wanted")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles); texts are read only for the classes in question."""
+        wanted = materialise(self.classes.select("id", "doc_id", "fp").join(ids, "id", "left_semi"), "wanted")
         texts = keep_matching(self.docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
         found = sets_of(texts, self.width).select(F.col("doc_id").alias("d"), F.col("fp").alias("f"), "shingles")
-        sets = materialise(found.join(wanted, (F.col("f") == F.col("fp")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("id", "shingles").dropDuplicates(["id"]), "sets")
+        return materialise(found.join(wanted, (F.col("f") == F.col("fp")) & F.col("d").eqNullSafe(F.col("doc_id"))).select("id", "shingles").dropDuplicates(["id"]), "sets")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Confirms pairs on the full sets."""
+        pairs = materialise(pairs, "pairs")
+        sets = self.sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         joined = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
                   .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"))
         links = materialise(count_common(joined).filter(F.col("common") * 100 >= F.col("n_all") * self.percent).select("a", "b", "common", "n_all"), "links")
@@ -244,6 +297,26 @@ class Forest:
                 rows = rows.withColumn("key", F.col(f"key{depth}")).drop(f"key{depth}")
         return self.fits(found)
 
+    def crowded_pairs(self, members: DataFrame) -> DataFrame | None:
+        """All pairs of different components that lie in crowded regions and may have the similarity, by their rarest shingles."""
+        rows = self.labelled(members.select("tree", "key", "id"))
+        regions = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter((F.col("size") > CROWD) & (F.col("l0") != F.col("l1")))
+        crowd = materialise(rows.join(regions.select("tree", "key"), ["tree", "key"], "left_semi").select("id", "label").distinct(), "crowd")
+        if crowd.isEmpty():
+            return None
+        first = materialise(heads(self.sets(crowd.select("id")).join(crowd, "id"), self.percent), "heads")
+        # A shingle's rows of its largest component meet only the rows of others.
+        per = first.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c"))
+        per = (per.groupBy("shingle").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+               .select("shingle", F.col("top.label").alias("main"), F.ceil(F.col("all") / HOT).cast("long").alias("salts")))
+        shared = materialise(first.join(per, "shingle"), "shared")
+        left = shared.filter("label <> main").select("shingle", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+        right = shared.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("rest").alias("ry"), (F.col("label") == F.col("main")).alias("top"))
+        # common / (nx + ny - common) >= percent / 100, with at most ``rest`` common shingles
+        may = F.least("rx", "ry") * (100 + self.percent) >= (F.col("nx") + F.col("ny")) * self.percent
+        met = left.join(right, (left["shingle"] == right["shingle"]) & (left["salt"] == right["salt"]) & (F.col("lx") != F.col("ly")) & (F.col("top") | (F.col("x") < F.col("y"))) & may)
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
     def grow(self) -> "Forest":
         members = self.members()
         stars = members.filter("id <> rep.id").select(F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
@@ -251,8 +324,14 @@ class Forest:
         while True:
             pairs = materialise(self.open_pairs(members).join(self.tested, ["a", "b"], "left_anti"), "more")
             if pairs.isEmpty():
-                return self
+                break
             self.test(pairs)
+        pairs = self.crowded_pairs(members)
+        if pairs is not None:
+            pairs = materialise(pairs.join(self.tested, ["a", "b"], "left_anti"), "more")
+            if not pairs.isEmpty():
+                self.test(pairs)
+        return self
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -107,6 +107,26 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert lshforest.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_copies_in_a_crowded_template(spark):
+    rng = random.Random(11)
+    word = iter(range(10 ** 9))
+    fresh = lambda n: [f"t{next(word)}" for _ in range(n)]
+    template, rows = fresh(140), []
+    for _ in range(30):
+        both = fresh(4)
+        rows += [" ".join(template + both + fresh(17)) for _ in range(2)]
+    rows += [" ".join(template + fresh(21)) for _ in range(340)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    _, roots = brute_components(rows, 4, 80)
+    assert len(set(roots)) == len(rows) - 30
+    names = {}
+    for (d, _), r in zip(rows, roots):
+        names[r] = min(names.get(r, d), d)
+    got = {r["doc_id"]: r["component_id"] for r in lshforest.near_duplicates(frame(spark, rows), width=4).collect()}
+    assert got == {d: names[r] for (d, _), r in zip(rows, roots)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 8), (300, 200), (200, 250)]
     got = {r["node"]: r["label"] for r in lshforest.components(spark.createDataFrame(links, "a long, b long")).collect()}
