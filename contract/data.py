@@ -333,7 +333,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC) AS n FRO
 
 def distances(T):
     x = T.embeddings.filter("label IN (0, 1)").select("vec_id", "label", "embedding")
-    return me.knn_distance(x, me.cap_bank(T.embeddings.filter("label >= 2"))).withColumn("distance", F.round("distance", 6))
+    return me.knn_distance(x, T.embeddings.filter("label >= 2")).withColumn("distance", F.round("distance", 6))
 
 
 R.query("knn_distance", "WITH " + KNN + " SELECT vec_id, label, distance FROM kd")(distances)
