@@ -5,8 +5,8 @@ last one returns the packed pieces. ``run`` writes every stage as Parquet in the
 folder and reads it again as the next stage's input.
 
 Quality drops the documents that the classifier predicts as label 0. Language drops
-those without a language: no letters, or a score under ``LEAST``, far below that of any
-readable text of a learned language. Null and empty texts have no language and go there.
+those without a language: no letters, or too few of the n-grams of the language that
+fits best, by a limit from its training rows. Null and empty texts have no language and go there.
 """
 from __future__ import annotations
 
@@ -16,8 +16,6 @@ from framelore.llm import bitmap, exactdup, langid, lshforest, packing, quality
 from framelore.llm.bpe import tokenizer_path
 from framelore.session import materialise
 
-LEAST = 0.2
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -26,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(langid.training_rows(docs, ~langid.held_out()))
-    found = langid.identify(docs, model, "_language", "_sure")
-    return found.filter((F.col("_language") != langid.UND) & (F.col("_sure") >= LEAST)).select(*docs.columns)
+    return langid.identify(docs, model, "_language", "_sure", "_reads").filter("_reads").select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

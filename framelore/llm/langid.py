@@ -18,6 +18,7 @@ are dropped.
 from __future__ import annotations
 
 import gc
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,6 +56,24 @@ def presence(text: str, seen: np.ndarray) -> np.ndarray:
     return found
 
 
+def share_known(text: str, known: np.ndarray) -> float:
+    """The share of a text's longest n-grams, with repeats, whose cell is set in ``known``; it does not fall with the text's length.
+
+    Digits and signs, as in numbers and addresses, say nothing of a language and count as one space.
+    """
+    text = re.sub(r"[\W\d_]+", " ", text)
+    step, hit, total = 1 << 18, 0, 0
+    for at in range(0, max(len(text), 1), step):
+        found = cells(text[at:at + step + ORDER - 1])
+        size = (len(found) + ORDER * (ORDER - 1) // 2) // ORDER  # of the piece in lower case
+        if size >= ORDER:
+            found = found[-(size - ORDER + 1):]
+        elif at:
+            continue  # the last piece lies within the overlap
+        hit, total = hit + int(known[found].sum()), total + len(found)
+    return hit / max(total, 1)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -62,6 +81,15 @@ class LanguageModel:
     marks: np.ndarray  # vocabulary x landmarks, presence over the root of each landmark's size
     weights: np.ndarray  # landmarks x languages, the Nyström map folded in
     bias: np.ndarray
+    known: np.ndarray  # languages x hash cells, those of the language's landmarks
+    least: np.ndarray  # the least share of known n-grams of a text of each language
+
+    def reads(self, text: str | None, language: str) -> bool:
+        """Whether the text has as many n-grams of the language as its training rows have, with allowance."""
+        if language not in self.languages:
+            return False
+        k = self.languages.index(language)
+        return share_known(text or "", self.known[k]) >= self.least[k]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel values of texts and landmarks."""
@@ -91,6 +119,24 @@ class LanguageModel:
         return names, scores
 
 
+ALLOWANCE, LOW = 0.65, 0.01  # of the share that all but LOW of a language's training rows reach
+
+
+def shares(rows: list[tuple[str, str]], languages: list[str], landmarks: int) -> tuple[np.ndarray, np.ndarray]:
+    """``known`` and ``least`` of a model; a landmark is measured by the other landmarks of its language."""
+    known, least = np.zeros((len(languages), 1 << BITS), bool), np.zeros(len(languages))
+    seen = np.zeros(1 << BITS, bool)
+    for k, lang in enumerate(languages):
+        texts = [text for of, text in rows if of == lang]
+        count = np.zeros(1 << BITS, np.int32)
+        for text in texts[:landmarks]:
+            count[presence(text, seen)] += 1
+        known[k] = count > 0
+        reached = [share_known(text, count > 1 if j < landmarks else known[k]) for j, text in enumerate(texts)]
+        least[k] = ALLOWANCE * np.quantile(reached, LOW)
+    return known, least
+
+
 def fit(rows: list[tuple[str, str]], landmarks: int = 40, ridge: float = 1e-3) -> LanguageModel:
     """A model from (language, text) rows; the first ``landmarks`` texts of each language become landmarks."""
     rows = [(lang, text) for lang, text in rows if text and any(map(str.isalpha, text))]
@@ -107,7 +153,7 @@ def fit(rows: list[tuple[str, str]], landmarks: int = 40, ridge: float = 1e-3) -
     marks = np.zeros((len(vocabulary), len(sets)), np.float32)
     for k, found in enumerate(sets):
         marks[slot[found], k] = 1 / np.sqrt(max(len(found), 1))
-    model = LanguageModel(languages, slot, marks, np.zeros((len(sets), len(languages))), np.zeros(len(languages)))
+    model = LanguageModel(languages, slot, marks, np.zeros((len(sets), len(languages))), np.zeros(len(languages)), *shares(rows, languages, landmarks))
     if not languages:
         return model
     values, vectors = np.linalg.eigh(model.kernel(chosen).astype(float))
@@ -145,17 +191,19 @@ def training_rows(docs: DataFrame, allowed: Column, per_language: int = 400) ->
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))]
 
 
-def identify(docs: DataFrame, model: LanguageModel, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``; columns of these names are replaced."""
+def identify(docs: DataFrame, model: LanguageModel, lang_pred: str = "lang_pred", score: str = "score", reads: str | None = None) -> DataFrame:
+    """Adds ``lang_pred`` and ``score``, and as ``reads`` whether the text passes for that language at all; columns of these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = schema_with(docs, **{lang_pred: T.StringType(), score: T.DoubleType()})
+    schema = schema_with(docs, **{lang_pred: T.StringType(), score: T.DoubleType()}, **({reads: T.BooleanType()} if reads else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()
         for whole in batches:
             for batch in blocks(whole, "text"):
-                names, scores = shared.value.predict(batch.column("text").to_pylist())
-                yield with_columns(batch, **{lang_pred: pa.array(names, pa.string()), score: pa.array(scores)}).select([f.name for f in schema])
+                texts = batch.column("text").to_pylist()
+                names, scores = shared.value.predict(texts)
+                more = {reads: pa.array([shared.value.reads(t, n) for t, n in zip(texts, names)], pa.bool_())} if reads else {}
+                yield with_columns(batch, **{lang_pred: pa.array(names, pa.string()), score: pa.array(scores)}, **more).select([f.name for f in schema])
 
     return docs.mapInArrow(run, schema)
 

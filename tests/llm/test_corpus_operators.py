@@ -280,3 +280,17 @@ def test_pipeline_equals_brute_force_stages(spark):
     assert {r["doc_id"] for r in near(spark, docs, sf).select("doc_id").collect()} == set(first.values())
     packed = corpus_pipeline.run(spark, sf)
     assert set(packed.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and packed.count() > 0
+
+
+def test_language_stage_drops_what_no_language_explains(spark):
+    sf, rng = "/root/testdata/sf0.001", random.Random(4)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    gibberish = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (20, 200, 20_000, 100_000)]
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1200))
+    other = ["Быстрая лиса прыгает через ленивую собаку и убегает в тёмный лес, где её никто не найдёт.",
+             "Suomi on Pohjois-Euroopassa sijaitseva valtio, jonka naapurimaita ovat Ruotsi, Norja ja Venäjä. Talvella lumi peittää metsät ja järvien rannat."]
+    planted = spark.createDataFrame([(10 ** 9 + k, t) for k, t in enumerate([*gibberish, blob, *other])], "doc_id long, text string")
+    long = docs.filter("lang = 'en' and length(text) > 500").orderBy("doc_id").limit(200).agg((F.lit(10 ** 8)).cast("long").alias("doc_id"), F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(planted, True).unionByName(long, True), sf).select("doc_id").collect()}
+    assert not any(d >= 10 ** 9 for d in kept) and 10 ** 8 in kept
+    assert len(kept) > 0.97 * docs.filter("text rlike '[A-Za-z]'").count()
