@@ -133,8 +133,9 @@ FROM alerts LEFT JOIN nation ON area = 'area_' || n_nationkey AND n_nationkey <
     lambda T: ro.resolve_camera(T.alerts.withColumn("camera_id", F.col("area")), cameras(T)).select("event_id", "camera_id", "name", "address"))
 R.query("compose_messages", with_views("""
 WITH m AS (SELECT a.*, coalesce(n_name, area) AS nm, CASE WHEN n_name IS NULL THEN 'location not registered' WHEN n_regionkey > 1 THEN 'Road ' || n_regionkey END AS ad, n_regionkey > 2 AS map FROM alerts a LEFT JOIN nation ON area = 'area_' || n_nationkey AND n_nationkey < 20)
-SELECT event_id, '[Camera review ' || upper(severity) || '] ' || label || ' — ' || nm AS subject, upper(severity) || ': ' || label || chr(10) || 'Camera : ' || nm || coalesce(', ' || ad, '') || chr(10) || 'Time   : ' || o_orderstatus || chr(10)
- || CASE WHEN map THEN 'Map    : 1.5,2.5' || chr(10) ELSE '' END || 'Seen   : ' || detail || chr(10) || 'Confidence: ' || score || chr(10) || chr(10) || 'Automated flag for human review — not a confirmed crime. It detects movement, not intent.' AS text FROM m""", "alerts"))(
+SELECT event_id, '[Camera review ' || upper(severity) || '] ' || label || ' — ' || nm AS subject, label || ' (' || upper(severity) || ')' || chr(10) || 'Where: ' || nm || coalesce(', ' || ad, '') || chr(10)
+ || 'When: ' || o_orderstatus || chr(10) || CASE WHEN map THEN 'Position: geo:1.5,2.5' || chr(10) ELSE '' END || 'What: ' || detail || chr(10) || 'Score: ' || score || chr(10) || chr(10)
+ || 'Raised by software for a person to check; it sees motion and knows nothing of intent.' AS text FROM m""", "alerts"))(
     lambda T: ro.compose_messages(ro.resolve_camera(T.alerts.withColumn("camera_id", F.col("area")).withColumn("timecode", F.col("o_orderstatus")).withColumn("snapshot", F.lit(None).cast("string")), cameras(T)))
     .select("event_id", "subject", "text"))
 

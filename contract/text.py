@@ -11,14 +11,19 @@ from framelore.session import materialise
 R = Registry()
 
 # ── captions: whole document texts, each behind a sentence an image captioner might say ──
-SAID = ["This view shows no weapon, no fighting, no theft and no fire.",
-        "The yard has no wall, but two women are fighting beside the shed.", "The lane has no traffic. One boy is punching another boy.",
-        "A couple strolls by a delivery van.", "A woman is carrying a panga at her side.", "Several youths smashing the display case with bricks.",
-        "The cyclist is fleeing after a crash.", "A quiet lane."]
-INCIDENT = ["", "\nINCIDENT: NONE", "\nINCIDENT: a boy is punching his friend", "", "\nINCIDENT: narcotics", "", "\nincident: n/a", ""]
+SAID = ["Wide shot of an empty square at dawn.",
+        "Nobody here holds a pistol; a porter points a rifle at the clerk.",
+        "Not raining, however smoke and flames come out of the kiosk.",
+        "MEN ROBBING THE TELLER WHILE OTHERS WAIT.",
+        "There was never a stabbing! Later, a stabbing near the fountain.",
+        "A butcher wipes his knife, then a man lies unconscious on the kerb.",
+        "Neither theft nor vandalism nor gunfire is reported from the depot.",
+        "Somebody steals a handbag and runs; without a mask.",
+        "Two vans collide where the police chase a suspect."]
+INCIDENT = ["", "\nINCIDENT: none to report", "\n\nIncident :  a rider snatched a necklace\nand fled", "\nINCIDENT: No.", "\nINCIDENT: nilgai loose, people panicking"]
 LIT = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-CASES = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {LIT(s)}" for i, s in enumerate(SAID)) + " END"
-ENDS = "CASE CAST(floor(doc_id / 8) AS BIGINT) % 8 " + " ".join(f"WHEN {i} THEN {LIT(s)}" for i, s in enumerate(INCIDENT)) + " END"
+CASES = f"CASE doc_id % {len(SAID)} " + " ".join(f"WHEN {i} THEN {LIT(s)}" for i, s in enumerate(SAID)) + " END"
+ENDS = f"CASE CAST(floor(doc_id / {len(SAID)}) AS BIGINT) % {len(INCIDENT)} " + " ".join(f"WHEN {i} THEN {LIT(s)}" for i, s in enumerate(INCIDENT)) + " END"
 add_view("cap", ["documents"], f"""
 SELECT doc_id AS caption_id, doc_id % 8 AS source, CAST(doc_id AS DOUBLE) / 2 AS t, {CASES} || ' ' || text || {ENDS} AS text, lang FROM documents""")
 
@@ -55,10 +60,10 @@ SELECT span_id, label, label <> 'normal' AS incident, count(*) FILTER (v <> 'mal
                                            F.col("caption_id").alias("answer_no"), "text")).drop("accuracy"))
 
 # ── answers: one case per document, its words mixed into the reply ──
-REPLIES = ["yes", "No.", "yes, but no weapon is visible", "I''m not sure", "Answer: yes", "banana", "nope", "it is unclear", "true", "hard to tell"]
+REPLIES = ["Yes!", "NO", "false", "perhaps so", "Correct.", "yes on the left, no on the right", "cannot say", "grey van", "My reply: no", "They do, yes", "none", "", "yeah"]
 add_view("ans", ["documents"], f"""
 SELECT d.doc_id AS case_id, f.frame_idx, q.question, p.polarity,
-       CASE (d.doc_id + f.frame_idx + q.n * 3 + CASE WHEN p.polarity = 'negative' THEN 1 + d.n_chars % 3 ELSE 0 END) % 10
+       CASE (d.doc_id + f.frame_idx + q.n * 3 + CASE WHEN p.polarity = 'negative' THEN 1 + d.n_chars % 3 ELSE 0 END) % {len(REPLIES)}
        {" ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REPLIES))} END AS text
 FROM documents d CROSS JOIN (VALUES (0), (1), (2)) AS f(frame_idx)
 CROSS JOIN (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(dims.QUESTIONS))}) AS q(n, question)
@@ -68,9 +73,8 @@ YN = f"""CASE WHEN text = '' OR (regexp_matches(text, '{YES}') AND regexp_matche
  WHEN lower(regexp_extract(text, '^\\W*(\\w+)', 1)) IN ('yes', 'yeah', 'yep', 'true', 'correct') THEN 1.0
  WHEN lower(regexp_extract(text, '^\\W*(\\w+)', 1)) IN ('no', 'nope', 'false', 'none') THEN 0.0
  WHEN regexp_matches(text, '{HEDGE}') THEN NULL WHEN regexp_matches(text, '{YES}') THEN 1.0 WHEN regexp_matches(text, '{NO}') THEN 0.0 END"""
-POL = f"""v AS (SELECT *, CAST({YN} AS DOUBLE) AS v FROM ans),
-d AS (SELECT a.case_id, a.frame_idx, a.question, a.v AS pos, b.v AS neg FROM v a JOIN v b ON b.case_id = a.case_id AND b.frame_idx = a.frame_idx
-      AND b.question = a.question AND b.polarity = 'negative' WHERE a.polarity = 'positive'),
+POL = f"""rp AS (SELECT text, CAST({YN} AS DOUBLE) AS v FROM (SELECT DISTINCT text FROM ans) u),
+d AS (SELECT case_id, frame_idx, question, max(v) FILTER (polarity = 'positive') AS pos, max(v) FILTER (polarity = 'negative') AS neg FROM ans JOIN rp USING (text) GROUP BY ALL),
 dec AS (SELECT case_id, frame_idx, question, pos IS NOT NULL AND (neg IS NULL OR neg = pos) AS inconsistent,
         CASE WHEN pos IS NOT NULL AND (neg IS NULL OR neg = pos) THEN NULL ELSE pos END AS value FROM d)"""
 R.query("polarity_check", with_views("WITH " + POL + " SELECT * FROM dec", "ans"))(lambda T: cap.polarity_check(T.ans))
