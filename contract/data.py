@@ -104,7 +104,7 @@ def rounded_windows(T):
     return ds.rank_windows(fr.interaction_features(T.joints)).withColumn("score", F.round("score", 5))
 
 
-R.query("pick_candidates")(lambda T: ds.pick_candidates(rounded_windows(T)))
+R.query("pick_candidates")(lambda T: ds.pick_candidates(rounded_windows(T), 15, 8))
 R.query("merge_windows", with_views("WITH " + WIN + """,
 o AS (SELECT source, start, round(score, 5) AS score, people_max, row_number() OVER (PARTITION BY source ORDER BY start) AS k FROM rw WHERE score > 0.5),
 r AS (SELECT source, k, start AS a, start + 4.0 AS b FROM o WHERE k = 1
@@ -245,7 +245,12 @@ R.query("cap_per_category", with_views("""
 SELECT category, least(count(*), CASE WHEN category = 'Normal' THEN 70 ELSE 40 END) AS n FROM items GROUP BY category""", "items"))(
     lambda T: ds.cap_per_category(T.items, 40, 70, 3, normal=F.col("category") == "Normal").groupBy("category").agg(F.count("*").alias("n")))
 R.query("split")(lambda T: ds.split(T.items, {"val": 0.15, "test": 0.15}, 1).select("item_id", "split"))
-R.query("weighted_sample")(lambda T: ds.weighted_sample(T.items, "duration", 500).select("item_id", "draw_no"))
+R.query("weighted_sample", with_views("""
+WITH line AS (SELECT item_id, CAST(floor(duration * 1000) AS DOUBLE) AS w, sum(CAST(floor(duration * 1000) AS DOUBLE)) OVER (ORDER BY item_id) AS hi FROM items WHERE floor(duration * 1000) > 0),
+d AS (SELECT o_orderkey AS draw_no, ((o_custkey * 7919 + o_orderkey) % 10007 + 0.5) / 10007 * (SELECT max(hi) FROM line) AS at FROM orders)
+SELECT item_id, draw_no FROM d ASOF JOIN (SELECT item_id, hi - w AS lo FROM line) l ON d.at >= l.lo""", "items"))(
+    lambda T: ds.weighted_sample(T.items.withColumn("w", F.floor(F.col("duration") * 1000)), "w", 0, draws=T.orders.select(
+        F.col("o_orderkey").alias("draw_no"), (((F.col("o_custkey") * 7919 + F.col("o_orderkey")) % 10007 + 0.5) / 10007).alias("u"))).select("item_id", "draw_no"))
 ALIAS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.CATEGORY_ALIASES.items())
 KNOWN = ", ".join(f"'{k}'" for k in dims.CATEGORY_TARGETS)
 TGT = ", ".join("('%s', '%s')" % (k, (d + "\n" + "INCIDENT: " + i).replace("'", "''").replace("\n", "' || chr(10) || '")) for k, (d, i) in dims.CATEGORY_TARGETS.items())

@@ -1,7 +1,7 @@
 """Dataset preparation and audit."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -63,12 +63,12 @@ def exclude_incident_time(samples: DataFrame, spans: DataFrame, pad: float = 1.0
     return slices.range_join(samples, s, list(keys), "t", "lo", "hi", width, "left_anti")
 
 
-def leakage(negatives: DataFrame, positives: DataFrame) -> DataFrame:
+def leakage(negatives: DataFrame, positives: DataFrame, width: float = 60.0) -> DataFrame:
     """Videos in both sets, and whether any of their spans overlap."""
     both = negatives.select("video").intersect(positives.select("video"))
-    n, p = negatives.join(both, "video").alias("n"), positives.alias("p")
-    hit = (F.col("n.video") == F.col("p.video")) & (F.col("n.start") < F.col("p.end")) & (F.col("n.end") > F.col("p.start"))
-    bad = n.join(p, hit, "left_semi").select("video").distinct().withColumn("overlaps", F.lit(True))
+    n = negatives.select("video", F.col("start").alias("_a"), F.col("end").alias("_b")).distinct()
+    p = positives.select("video", F.col("start").alias("_c"), F.col("end").alias("_d")).distinct()
+    bad = slices.overlap_join(n, p, ["video"], ("_a", "_b"), ("_c", "_d"), width, "left_semi").select("video").distinct().withColumn("overlaps", F.lit(True))
     return both.join(bad, "video", "left").fillna(False, ["overlaps"])
 
 
@@ -104,10 +104,10 @@ def with_area(labels: DataFrame) -> DataFrame:
     return labels.withColumn("area_pct", a * 100.0).filter(F.col("area_pct").isNotNull())
 
 
-def audit_labels(labels: DataFrame, target_pct: float = 0.4, bin_pct: float = 0.05) -> DataFrame:
+def audit_labels(labels: DataFrame, target_pct: float = 0.4) -> DataFrame:
     """Per class: instances, images, p10/median/p90 of object size, and how that compares with deployment."""
     a = with_area(labels)
-    q = slices.quantile_at(a, ["class_id"], "area_pct", {"p10": 0.1, "median": 0.5, "p90": 0.9}, bin_pct, nearest=True)
+    q = slices.quantile_at(a, ["class_id"], "area_pct", {"p10": 0.1, "median": 0.5, "p90": 0.9}, nearest=True)
     n = a.groupBy("class_id").agg(F.count("*").alias("instances"), F.count_distinct("image").alias("images"),
                                   F.count_if(F.size("coords") == 4).alias("boxes"))
     r = F.col("ratio")
@@ -188,10 +188,10 @@ def merge_windows(windows: DataFrame, gap_s: float = 0.5, max_span: float = 12.0
             .agg(F.max("end").alias("end"), F.max("score").alias("score"), F.max("people_max").alias("people_max")))
 
 
-def pick_candidates(windows: DataFrame, pct: float = 90.0, top: int = 15, normals: int = 8, max_span: float = 12.0, bin_width: float = 0.1) -> DataFrame:
+def pick_candidates(windows: DataFrame, top: int, normals: int, pct: float = 90.0, max_span: float = 12.0) -> DataFrame:
     """The best spans of each source to look at, and quiet spans with people as ready-made negatives."""
     windows = materialise(windows, "windows")
-    cut = slices.quantile_at(windows, ["source"], "score", {"cutoff": pct / 100.0}, bin_width)
+    cut = slices.quantile_at(windows, ["source"], "score", {"cutoff": pct / 100.0})
     w = windows.join(cut, "source")
     strong = merge_windows(w.filter(F.col("score") >= F.col("cutoff")).drop("cutoff"), max_span=max_span)
     quiet = merge_windows(w.filter((F.col("people_max") >= 1) & (F.col("score") < F.col("cutoff"))).drop("cutoff"), max_span=max_span)
@@ -282,24 +282,47 @@ def split(df: DataFrame, fracs: dict[str, float], seed: int = 0, key: str = "ite
     return df.withColumn("split", name)
 
 
-def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 0, key: str = "item_id") -> DataFrame:
-    """n draws with replacement, in proportion to ``weight``.
+def weighted_sample(df: DataFrame, weight: str, n: int, seed: int = 0, key: str = "item_id", draws: DataFrame | None = None, share: int = 100_000) -> DataFrame:
+    """n draws with replacement, in proportion to ``weight``; rows of null or no weight are never drawn.
 
-    Rows are laid end to end on a line as long as the total weight — by hash
-    bucket, so the cumulative sum is a slice sum — and each seeded draw picks the
-    row it falls on through a bucketed range join.
+    Rows are laid end to end, in the order of ``key``, on a line as long as the total
+    weight (prefix sums over range partitions). A draw is a place on this line: a seeded hash
+    of its number, or ``draws`` (draw_no, u) with u in [0, 1). Draws are sent to partitions by binary
+    search in the partitions' ends, one number each; inside, another search finds the row. A
+    partition that gets more than ``share`` draws, as one of a very heavy row does, is
+    copied for every further ``share``.
     """
-    buckets = 1024
-    line = df.select(key, F.col(weight).cast("double").alias("_w")).withColumn("_u", draw(seed, key) * buckets)
-    line = slices.running_total(line, [], "_u", 1.0, F.col("_w"), "hi", [key]).withColumn("lo", F.col("hi") - F.col("_w"))
-    total = line.agg(F.max("hi").alias("_total"))
     spark = df.sparkSession
-    draws = (slices.with_one_row(spark.range(n).withColumnRenamed("id", "draw_no"), total)
-             .withColumn("at", draw(seed + 1, "draw_no") * F.col("_total")).withColumn("_b", F.floor(F.col("at") / F.col("_total") * buckets).cast("long")))
-    spans = (slices.with_one_row(line, total)
-             .withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_total") * buckets).cast("long"), F.floor(F.col("hi") / F.col("_total") * buckets).cast("long")))))
-    hit = draws.drop("_total").join(spans.drop("_total"), "_b").filter((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    return df.join(hit.select("draw_no", key), key)
+    line = df.select(key, F.col(weight).cast("double").alias("_w")).filter("_w > 0").groupBy(key).agg(F.sum("_w").alias("_w"))
+    line = materialise(slices.ordered_total(line, [], [key], "_w", "hi"), "line")
+    line = materialise(line.repartitionByRange("hi").withColumn("_part", F.spark_partition_id()), "line")
+    ends = line.groupBy("_part").agg(F.max("hi").alias("hi"), F.max("hi_all").alias("total")).orderBy("hi").collect()  # a row a partition
+    if not ends:
+        return df.withColumn("draw_no", F.lit(None).cast("long")).filter(F.lit(False))
+    total, bounds, names = ends[-1]["hi"], np.array([r["hi"] for r in ends]), np.array([r["_part"] for r in ends], np.int64)
+    if draws is None:
+        draws = spark.range(n).select(F.col("id").alias("draw_no")).withColumn("u", draw(seed + 1, "draw_no"))
+    draws = draws.select(F.col("draw_no").cast("long").alias("draw_no"), (F.col("u") * total).alias("at"))
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(_part=names[np.minimum(np.searchsorted(bounds, f["at"].to_numpy(), side="right"), len(bounds) - 1)])
+
+    sent = materialise(draws.mapInPandas(send, "draw_no long, at double, _part long"), "draws")
+    copies = materialise(sent.groupBy("_part").agg(F.ceil(F.count("*") / share).cast("long").alias("_copies")), "copies")
+    copies = {r["_part"]: r["_copies"] for r in copies.collect()}  # a number a partition
+    many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for part, c in copies.items() for x in (part, c)]), F.col("_part")), F.lit(0)) if copies else F.lit(0)
+    some = sent.withColumn("_copy", F.pmod(F.xxhash64("draw_no"), many))
+    rows = line.filter(many > 0).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    schema = T.StructType([T.StructField("draw_no", T.LongType()), df.schema[key]])
+
+    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("hi")
+        at = np.minimum(np.searchsorted(right["hi"].to_numpy(), left["at"].to_numpy(), side="right"), len(right) - 1)
+        return pd.DataFrame({"draw_no": left["draw_no"].to_numpy(), key: right[key].to_numpy()[at]} if len(left) else {"draw_no": [], key: []})
+
+    hit = some.groupBy("_part", "_copy").cogroup(rows.groupBy("_part", "_copy")).applyInPandas(find, schema)
+    return df.join(hit, key)
 
 
 def top_k(df: DataFrame, by: str, k: int, tie: Sequence[str] = ()) -> DataFrame:

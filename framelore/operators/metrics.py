@@ -151,14 +151,15 @@ def cap_bank(bank: DataFrame, n: int = BANK_CAP, seed: int = 0, key: str = "vec_
 
 
 def hold_out(bank: DataFrame, spans: DataFrame, width: float = 60.0) -> DataFrame:
-    """The bank windows that must not score a span: those of its video whose range overlaps it (open end = whole file).
+    """The bank windows that must not score a span: those of its video whose range overlaps it (a missing end: the whole file).
 
     ``bank``: video, a, b, ...; ``spans``: span_id, video, start, end. Returns the
     pairs to *exclude*: a bank window is only ever near spans of its own video.
     """
-    on = F.col("b.video") == F.col("s.video")
-    hit = F.col("b.a").isNull() | F.col("b.b").isNull() | ((F.col("b.a") < F.col("s.end")) & (F.col("b.b") > F.col("s.start")))
-    return bank.alias("b").join(spans.select("span_id", "video", "start", "end").alias("s"), on & hit).select("s.span_id", *[F.col(f"b.{c}") for c in bank.columns])
+    whole = F.col("a").isNull() | F.col("b").isNull()
+    w = bank.withColumn("_lo", F.when(~whole, F.col("a"))).withColumn("_hi", F.when(~whole, F.col("b")))
+    s = spans.select("span_id", "video", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    return slices.overlap_join(w, s, ["video"], ("_lo", "_hi"), ("_start", "_end"), width).select("span_id", *bank.columns)
 
 
 def knn_distance(x: DataFrame, bank: DataFrame, k: int = 8, excluded: DataFrame | None = None, key: str = "vec_id",
@@ -212,24 +213,24 @@ def knn_distance(x: DataFrame, bank: DataFrame, k: int = 8, excluded: DataFrame
             .select(*[c for c in x.columns if c != "embedding"], "distance"))
 
 
-def auc(scores: DataFrame, value: str = "score", label: str = "positive", width: float = 0.001) -> DataFrame:
+def auc(scores: DataFrame, value: str = "score", label: str = "positive") -> DataFrame:
     """Probability that a positive outranks a negative; equal scores count half.
 
-    Scores are counted first, then ranked by slice totals: no global sort.
+    Scores are counted first, then ranked over range partitions: no global sort in one task.
     """
     per = scores.groupBy(value).agg(F.count_if(label).alias("p"), F.count_if(~F.col(label)).alias("n"))
-    cum = slices.running_total(per, [], value, width, F.col("n"), "below")
+    cum = slices.ordered_total(per, [], [value], "n", "below")
     wins = F.sum(F.col("p") * (F.col("below") - F.col("n")) + F.col("p") * F.col("n") / 2)
     return cum.agg((wins / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
-def span_scores(distances: DataFrame, width: float = 0.001) -> DataFrame:
+def span_scores(distances: DataFrame) -> DataFrame:
     """Median and maximum distance per span, and whether an incident span lies above the normal median.
 
     ``distances``: span_id, incident, distance.
     """
-    med = slices.quantile_at(distances, ["span_id", "incident"], "distance", {"median": 0.5}, width)
+    med = slices.quantile_at(distances, ["span_id", "incident"], "distance", {"median": 0.5})
     top = distances.groupBy("span_id", "incident").agg(F.max("distance").alias("max"), F.count("*").alias("windows"))
-    normal = slices.quantile_at(distances.filter(~F.col("incident")), [], "distance", {"normal_median": 0.5}, width)
+    normal = slices.quantile_at(distances.filter(~F.col("incident")), [], "distance", {"normal_median": 0.5})
     return (slices.with_one_row(top.join(med, ["span_id", "incident"]), normal)
             .withColumn("above_normal", F.col("incident") & (F.col("median") > F.col("normal_median"))))

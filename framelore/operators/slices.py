@@ -11,6 +11,8 @@ therefore partitioned by ``(key, time slice)``:
 * ``running_total`` — unbounded prefix sums: slice totals are summed first
 * ``sessionize``    — gap-based sessions, from the two above
 * ``range_join``    — point-in-interval joins on equal time buckets
+* ``overlap_join``  — interval-interval joins: the later start is a point in the other interval
+* ``ordered_total`` — prefix sums in value order over range partitions, however bunched the values
 * ``quantile_at``   — exact quantiles from value counts
 * ``spaced``        — a minimum gap between kept rows, by pointer doubling over slices
 * ``carry_scan``    — any deterministic sequential fold (see its docstring)
@@ -194,33 +196,81 @@ def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
-    """Distinct values per key with the rows below them: ``value, n, upto``."""
+def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, how: str = "inner") -> DataFrame:
+    """Pairs of equal keys whose intervals overlap: ``a.lo < b.hi and a.hi > b.lo``; a null end is open.
+
+    Of two overlapping intervals the later start lies in the other one (of equal starts,
+    b's counts as the later). Starts are points, in one time bucket each, so a pair is found
+    once, in the bucket of its later start; only the other interval is copied into the
+    buckets it covers. Intervals with an open end would cover all buckets: they are kept
+    apart and meet the other side by key. Column names must differ but for the keys.
+    ``how`` is inner, or left_semi: then distinct rows of ``a`` with a partner.
+    """
+    (alo, ahi), (blo, bhi) = a_span, b_span
+    c = lambda x: F.col(x).cast("double")
+    shut = lambda lo, hi: F.col(lo).isNotNull() & F.col(hi).isNotNull()
+    after = lambda lo, hi: F.col(lo).isNull() | F.col(hi).isNull() | (F.col(lo) < F.col(hi))
+    hit = after(alo, bhi) & after(blo, ahi)
+    place = lambda df, at: df.withColumn("_bucket", slice_no(c(at), width))
+    spread = lambda df, lo, hi: df.filter(F.col(lo) <= F.col(hi)).withColumn("_bucket", F.explode(F.sequence(slice_no(c(lo), width), slice_no(c(hi), width))))
+    a_shut, b_shut = a.filter(shut(alo, ahi)), b.filter(shut(blo, bhi))
+    a_open, b_open = a.filter(~shut(alo, ahi)), b.filter(~shut(blo, bhi))
+    parts = [(spread(a_shut, alo, ahi), place(b_shut, blo), hit & (F.col(blo) >= F.col(alo)), [*keys, "_bucket"]),
+             (place(a_shut, alo), spread(b_shut, blo, bhi), hit & (F.col(blo) < F.col(alo)), [*keys, "_bucket"]),
+             (a_open, b, hit, list(keys)), (a_shut, b_open, hit, list(keys))]
+    cols = a.columns if how == "left_semi" else [*a.columns, *[x for x in b.columns if x not in keys]]
+    found = []
+    for x, y, cond, on in parts:
+        y = y.select(*[F.col(k).alias(f"_k_{k}") if k in on else F.col(k) for k in y.columns])
+        for k in on:
+            cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+        found.append(x.join(y, cond, how).select(*cols))
+    every = reduce(DataFrame.unionByName, found)
+    return every.distinct() if how == "left_semi" else every
+
+
+def ordered_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and including each row (``out``) and over its key (``out`` + "_all"), in the order of ``order``.
+
+    Rows are range partitioned by key and order, so a partition's share does not depend on
+    how the values are spread; partition totals, one row a key and partition, are summed
+    first. Rows must differ in ``keys`` and ``order``.
+    """
+    ranged = materialise(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*keys, "_p").agg(F.sum(value).alias("_t"))
+    along = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])  # a key's partitions
+    before = along.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(along).alias(f"{out}_all"))
+    totals = materialise(totals, "totals")
+    local = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_p"]]
+    joined = ranged.withColumn("_local", F.sum(value).over(local)).alias("a").join(totals.alias("b"), reduce(lambda p, q: p & q, on))
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_local") + F.col("_before")).alias(out), F.col(f"b.{out}_all"))
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per key, how often, the rows up to each and all rows: ``value, n, upto, upto_all``."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return running_total(counts, keys, value, width, F.col("n"), "upto")
+    return ordered_total(counts, keys, [value], "n", "upto")
 
 
-def quantile_at(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], width: float,
-                nearest: bool = False) -> DataFrame:
+def quantile_at(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], nearest: bool = False) -> DataFrame:
     """Exact quantiles without sorting a group in one task.
 
     Linear interpolation by default; ``nearest`` takes the half-even rounded
     rank instead. Values are counted first, so ties cost nothing.
     """
-    ranked = value_ranks(df, keys, value, width)
-    sizes = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    on = list(keys)
-    joined = ranked.join(sizes, on) if on else with_one_row(ranked, sizes)
+    ranked = value_ranks(df.filter(F.col(value).isNotNull()), keys, value)
     aggs = []
     for name, q in qs.items():
-        pos = F.lit(q) * (F.col("_n") - 1)
+        pos = F.lit(q) * (F.col("upto_all") - 1)
         if nearest:
             pos = F.bround(pos, 0)
         lo, hi = F.floor(pos), F.ceil(pos)
         at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col(value)))
         frac = F.max(pos - lo)
         aggs.append((at(lo) + (at(hi) - at(lo)) * frac).alias(name))
-    return joined.groupBy(*on).agg(*aggs)
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 # ── spacing ──

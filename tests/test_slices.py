@@ -73,7 +73,7 @@ def test_sessions_totals_and_asof(rows, spark):
 
 
 def test_quantiles_and_auc(rows, spark):
-    q = {r.k: r for r in slices.quantile_at(rows, ["k"], "t", {"lo": 0.1, "mid": 0.5, "hi": 0.9}, 5.0).collect()}
+    q = {r.k: r for r in slices.quantile_at(rows, ["k"], "t", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).collect()}
     for k, seq in by_key().items():
         v = [t for t, _ in seq]
         assert [q[k].lo, q[k].mid, q[k].hi] == pytest.approx(np.percentile(v, [10, 50, 90]))
