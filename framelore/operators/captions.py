@@ -79,7 +79,11 @@ def signals(dets: DataFrame, preds: DataFrame | None = None, frames: DataFrame |
 
 def corroborate(hits: DataFrame, sig: DataFrame, slice_s: float = 600.0) -> DataFrame:
     """Give each hit the last signals at or before it and adjust its score: +0.15 if they agree, else -0.10."""
-    x = slices.asof(hits, sig.select("source", "t", "classes", "actions", "people"), ["source"], "t", "t", slice_s, "sig")
+    return corroborated(slices.asof(hits, sig.select("source", "t", "classes", "actions", "people"), ["source"], "t", "t", slice_s, "sig"))
+
+
+def corroborated(x: DataFrame) -> DataFrame:
+    """The score of hits whose last signals are in the struct ``sig`` (null: none)."""
     words = lambda values: F.array(*[F.lit(v) for v in values])
     classes = F.coalesce("sig.classes", F.array().cast("array<string>"))
     actions = F.coalesce("sig.actions", F.array().cast("array<string>"))

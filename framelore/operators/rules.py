@@ -185,7 +185,12 @@ def crowd_events(counts: DataFrame, cfg: RuleConfig = DEFAULTS, slice_s: float =
     x = (slices.sliced(seen, "t", slice_s, back=span)
          .withColumn("first", F.first("people").over(w)).withColumn("peak", F.max("people").over(w))
          .withColumn("in_window", F.count("*").over(w)).withColumn("last", F.col("people")))
-    x = slices.home(x).filter((F.col("history") >= 5) & (F.col("in_window") >= 3))
+    return crowd_changes(slices.home(x).filter((F.col("history") >= 5) & (F.col("in_window") >= 3)), cfg)
+
+
+def crowd_changes(frames: DataFrame, cfg: RuleConfig = DEFAULTS) -> DataFrame:
+    """Crowd events of frames (source, frame_no, t, first, peak, last): counts at the window's start, its highest and now."""
+    span = cfg.crowd_window_s
     s = lambda c: F.col(c).cast("string")
     within = F.lit(f" in {span:.0f}s")
 
@@ -201,7 +206,7 @@ def crowd_events(counts: DataFrame, cfg: RuleConfig = DEFAULTS, slice_s: float =
                F.concat(F.lit("Person count fell "), s("peak"), F.lit(" → "), s("last"), within), F.col("peak"), F.col("last")),
         option(F.col("last") >= cfg.crowd_density, "crowd_density", "High crowd density", "low", 0.35,
                F.concat(s("last"), F.lit(" people in frame")), F.lit(None), F.col("last"))))
-    e = x.select("source", "frame_no", "t", F.explode(fired).alias("e")).select("source", "frame_no", "t", "e.*")
+    e = frames.select("source", "frame_no", "t", F.explode(fired).alias("e")).select("source", "frame_no", "t", "e.*")
     return as_events(e, label=F.col("label"), category=F.lit("crowd"), severity=F.col("severity"), score=F.col("score"),
                      rule="crowd_dynamics", detail=F.col("detail"), ev=evidence(**{"from": F.col("a"), "to": F.col("b")}))
 

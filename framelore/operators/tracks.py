@@ -372,19 +372,18 @@ def left_scene(lost: DataFrame, found: DataFrame, speeds: DataFrame, cfg: RuleCo
 
 # ── snatch trajectory ────────────────────────────────────────────────────────
 
-def snatch_trajectory(tracks: DataFrame, cfg: RuleConfig = DEFAULTS, speeds: DataFrame | None = None, parity: bool = False,
-                      slice_s: float = 300.0) -> DataFrame:
-    """A vehicle closes on a person, is briefly beside them, and leaves faster than it came.
+def pair_samples(tracks: DataFrame, cfg: RuleConfig = DEFAULTS, speeds: DataFrame | None = None, slice_s: float = 300.0) -> DataFrame:
+    """Every frame of a vehicle beside each person it ever met at speed.
 
-    The time beside the person ends when they separate; ``parity`` lets it run on
-    until the judgement. A pair fires at most once.
+    ``close`` says whether they are in contact, null in frames without the person; ``approach`` is
+    the vehicle's highest speed of the last two seconds, in diagonals per second.
     """
     speeds = speeds if speeds is not None else materialise(track_speed(tracks), "speeds")
     v = speeds.filter(F.col("cls").isin(dims.VEHICLES)).withColumn("_diag", frame_diag())
     w = slices.within(TRACK, "t", -2.0, 0)
     v = slices.home(slices.sliced(v, "t", slice_s, back=2.0).withColumn("approach", F.max("speed").over(w) / F.col("_diag")))
     v = v.select("source", "frame_no", "t", F.col("track_id").alias("v_id"), F.col("cls").alias("v_cls"), F.col("cx").alias("vx"),
-                 F.col("cy").alias("vy"), F.col("_diag").alias("diag"), "approach")
+                 F.col("cy").alias("vy"), F.col("_diag").alias("diag"), "approach", "speed")
     cx, cy = expr.centroid(expr.box())
     p = tracks.filter(F.col("cls") == "person").select("source", "frame_no", F.col("track_id").alias("p_id"), cx.alias("px"), cy.alias("py"))
     r = F.col("diag") * cfg.snatch_contact + 1
@@ -393,36 +392,64 @@ def snatch_trajectory(tracks: DataFrame, cfg: RuleConfig = DEFAULTS, speeds: Dat
     met = (slices.grid_join(v.filter(F.col("approach") >= cfg.snatch_approach), p, relate.FRAME,
                             (F.col("vx") - r, F.col("vy") - r, F.col("vx") + r, F.col("vy") + r), (F.col("px"), F.col("py"), F.col("px"), F.col("py")))
            .filter(gap <= cfg.snatch_contact).select("source", "v_id", "p_id").distinct())
-    pair = ["source", "v_id", "p_id"]
-    both = v.join(met, ["source", "v_id"]).join(p, ["source", "frame_no", "p_id"]).withColumn("close", gap <= cfg.snatch_contact)
-    schema = T.StructType([both.schema[c] for c in pair] + [T.StructField(c, T.DoubleType()) for c in ("since", "until", "contact_s", "approach")])
+    both = v.join(met, ["source", "v_id"]).join(p, ["source", "frame_no", "p_id"], "left")
+    return both.select("source", "v_id", "p_id", "frame_no", "t", (gap <= cfg.snatch_contact).alias("close"), "approach", "speed", "diag", "v_cls")
+
+
+PAIR = ["source", "v_id", "p_id"]
+
+
+def judge_pair(state: dict | None, t: float, close: bool | None, approach: float, cfg: RuleConfig, parity: bool = False) -> tuple[dict | None, tuple | None]:
+    """One sample of a pair: the state after it, and (apart, until, contact_s, approach) once a separation was watched long enough."""
+    if close is None:
+        return state, None
+    if close:
+        if state is None and approach >= cfg.snatch_approach:
+            state = {"start": t, "approach": approach, "apart": None}
+        return state, None
+    if state is None:
+        return None, None
+    if state["apart"] is None:
+        state = {**state, "apart": t}
+    beside = (t if parity else state["apart"]) - state["start"]
+    if beside > cfg.snatch_max_contact_s:
+        return None, None
+    if t - state["apart"] >= cfg.snatch_watch_s:
+        return None, (state["apart"], t, beside, state["approach"])
+    return state, None
+
+
+def snatch_trajectory(tracks: DataFrame, cfg: RuleConfig = DEFAULTS, speeds: DataFrame | None = None, parity: bool = False,
+                      slice_s: float = 300.0) -> DataFrame:
+    """A vehicle closes on a person, is briefly beside them, and leaves faster than it came.
+
+    The time beside the person ends when they separate; ``parity`` lets it run on
+    until the judgement. A pair fires at most once.
+    """
+    speeds = speeds if speeds is not None else materialise(track_speed(tracks), "speeds")
+    both = materialise(pair_samples(tracks, cfg, speeds, slice_s), "pairs")
+    schema = T.StructType([both.schema[c] for c in PAIR] + [T.StructField(c, T.DoubleType()) for c in ("since", "until", "contact_s", "approach")])
 
     def fold(pdf: pd.DataFrame, state):
         out = []
         for t, close, approach in zip(pdf["t"], pdf["close"], pdf["approach"]):
-            if close:
-                if state is None and approach >= cfg.snatch_approach:
-                    state = {"start": float(t), "approach": float(approach), "apart": None}
-                continue
-            if state is None:
-                continue
-            if state["apart"] is None:
-                state["apart"] = float(t)
-            beside = (t if parity else state["apart"]) - state["start"]
-            if beside > cfg.snatch_max_contact_s:
-                state = None
-            elif t - state["apart"] >= cfg.snatch_watch_s:
-                out.append((*pdf[pair].iloc[0], state["apart"], float(t), float(beside), state["approach"]))
-                state = None
+            state, judged = judge_pair(state, float(t), bool(close), float(approach), cfg, parity)
+            if judged is not None:
+                out.append((*pdf[PAIR].iloc[0], *judged))
         return pd.DataFrame(out, columns=[f.name for f in schema.fields]), state
 
-    judged = slices.carry_scan(both.select(*pair, "t", "close", "approach"), pair, "t", slice_s, 10.0, fold, schema)
+    judged = slices.carry_scan(both.filter("close is not null").select(*PAIR, "t", "close", "approach"), PAIR, "t", slice_s, 10.0, fold, schema)
     left = peak_speed(speeds, judged.withColumn("track_id", F.col("v_id")), "departure")
-    left = left.join(v.select("source", "v_id", F.col("t").alias("until"), "diag", "v_cls", "frame_no"), ["source", "v_id", "until"])
+    left = left.join(both.select(*PAIR, F.col("t").alias("until"), "diag", "v_cls", "frame_no"), [*PAIR, "until"])
     ratio = F.col("departure") / F.col("diag") / F.col("approach")
     fired = (left.withColumn("ratio", ratio).filter(F.col("ratio") >= cfg.snatch_ratio)
-             .groupBy(*pair).agg(F.min_by(F.struct("until", "frame_no", "contact_s", "approach", "departure", "diag", "ratio", "v_cls"), "until").alias("m"))
-             .select(*pair, "m.*").withColumnRenamed("until", "t"))
+             .groupBy(*PAIR).agg(F.min_by(F.struct("until", "frame_no", "contact_s", "approach", "departure", "diag", "ratio", "v_cls"), "until").alias("m"))
+             .select(*PAIR, "m.*").withColumnRenamed("until", "t"))
+    return snatch_events(fired, cfg)
+
+
+def snatch_events(fired: DataFrame, cfg: RuleConfig = DEFAULTS) -> DataFrame:
+    """Events of judged pairs, the first of each that left fast enough (source, frame_no, t, v_id, p_id, contact_s, approach, departure, diag, ratio, v_cls)."""
     score = F.least(F.lit(1.0), 0.40 + 0.25 * F.least(F.col("ratio") - 1, F.lit(1.0)) + 0.25 * (1 - F.col("contact_s") / cfg.snatch_max_contact_s))
     fired = fired.withColumn("score", F.round(score, 3)).filter(F.col("score") >= cfg.snatch_min_score)
     return rules.as_events(fired, type=F.lit("snatch_theft"), label=F.lit("Possible snatch from vehicle"), category=F.lit("trajectory"),

@@ -92,7 +92,8 @@ def test_streaming_tracker_equals_batch(spark, tmp_path):
     from framelore.operators import tracks as tr
     frames = [[person(300 + (5 * i if i > 20 else 0), 300), person(700, 300)] for i in range(40)]
     rows = tr.with_ticks(scene(spark, frames, 1.0, 1000.0), frame_list(spark, 40, 1.0, 1000.0)).withColumn("event_ts", F.timestamp_seconds("t"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    later = rows.limit(1).withColumn("source", F.lit(999).cast("long")).withColumn("event_ts", F.timestamp_seconds(F.lit(9999)))  # lets the watermark pass
+    rows.unionByName(later).coalesce(1).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("event_ts", "5 seconds")
     out = run(spark, live.track_stream(s, DEFAULTS.patched(loiter_s=30.0)), tmp_path)
     got = {r.det_id: r.track_id for r in out.collect()}
@@ -107,7 +108,8 @@ def test_streaming_sessions_and_crowd(spark, tmp_path):
     ev.coalesce(1).write.parquet(str(tmp_path / "ev"))
     s = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev")).withWatermark("event_ts", "1 second")
     assert sorted((r.first_t, r["count"]) for r in run(spark, live.incident_stream(s), tmp_path).collect()) == [(10.0, 3), (80.0, 1)]
-    c = spark.createDataFrame([(1, t, n) for t, n in ((100.0, 1), (100.5, 1), (101.0, 1), (101.5, 9), (160.0, 1))], "source long, t double, people long").withColumn("event_ts", F.timestamp_seconds("t"))
+    c = spark.createDataFrame([(1, i, t, n) for i, (t, n) in enumerate(((99.0, 1), (99.5, 1), (100.0, 1), (100.5, 1), (101.0, 1), (101.5, 9), (160.0, 1), (200.0, 1)))],
+                              "source long, frame_no long, t double, people long").withColumn("event_ts", F.timestamp_seconds("t"))
     c.coalesce(1).write.parquet(str(tmp_path / "c"))
     s = spark.readStream.schema(c.schema).parquet(str(tmp_path / "c")).withWatermark("event_ts", "1 second")
     assert "crowd_surge" in {r.type for r in run(spark, live.crowd_stream(s), tmp_path).collect()}
