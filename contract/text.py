@@ -40,14 +40,15 @@ R.query("screen_captions", with_views("WITH " + SCREEN + " SELECT caption_id, pa
     lambda T: cap.screen_captions(T.cap).select("caption_id", "pattern_no", "type", "severity", "base", "match"))
 SIG = """sg AS (SELECT source, t, list(DISTINCT cls) AS classes, count(*) FILTER (cls = 'person') AS people FROM det GROUP BY source, t)"""
 VIOLENT = [l for l, t, *_ in dims.CRIME_ACTIONS if t in ("violence", "armed_threat")]
-R.query("corroborate", with_views("WITH " + SCREEN + "," + SIG + """,
+CORROBORATED = with_views("WITH " + SCREEN + "," + SIG + """,
 a AS (SELECT h.*, s.classes, coalesce(s.people, 0) AS people FROM hits h ASOF LEFT JOIN sg s ON s.source = h.source AND s.t <= h.t),
 c AS (SELECT *, CASE WHEN type IN ('weapon_reported', 'shooting_reported') THEN list_has_any(classes, ['knife', 'baseball bat', 'scissors'])
   WHEN type IN ('violence_reported', 'robbery_reported') THEN people >= 2 WHEN type = 'person_down_reported' THEN FALSE
   WHEN type IN ('theft_reported', 'burglary_reported') THEN people >= 1 AND (list_has_any(classes, ['backpack', 'handbag', 'suitcase']) OR people >= 2)
   WHEN type IN ('crowd_panic_reported', 'pursuit_reported') THEN people >= 3
   WHEN type = 'collision_reported' THEN list_has_any(classes, ['car', 'truck', 'bus', 'motorcycle', 'bicycle', 'train']) ELSE people >= 1 END AS ok FROM a)
-SELECT caption_id, pattern_no, type, coalesce(ok, FALSE) AS corroborated, round(CASE WHEN coalesce(ok, FALSE) THEN least(1.0::DOUBLE, base + 0.15) ELSE base - 0.10 END, 6) AS score FROM c""", "cap", "det"))(
+SELECT caption_id, pattern_no, type, coalesce(ok, FALSE) AS corroborated, round(CASE WHEN coalesce(ok, FALSE) THEN least(1.0::DOUBLE, base + 0.15) ELSE base - 0.10 END, 6) AS score FROM c""", "cap", "det")
+R.query("corroborate", CORROBORATED)(
     lambda T: cap.corroborate(materialise(cap.screen_captions(T.cap), "hits"), cap.signals(T.det)).select("caption_id", "pattern_no", "type", "corroborated", F.round("score", 6).alias("score")))
 R.query("caption_events")(lambda T: cap.caption_events(T.cap, cap.signals(T.det, T.act)).drop("evidence"))
 VERDICT = f"""CASE WHEN NOT regexp_matches(text, '{INC}') THEN 'malformed' WHEN regexp_matches(trim(regexp_extract(text, '{INC}', 1), ' ' || chr(9) || chr(10) || chr(13)), '{NONE}') THEN 'none' ELSE 'flagged' END"""

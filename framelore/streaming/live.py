@@ -53,8 +53,9 @@ def crowd_stream(counts: DataFrame, cfg: RuleConfig = DEFAULTS) -> DataFrame:
     return rules.crowd_changes(frames, cfg)
 
 
-def incident_stream(events: DataFrame, gap: str = "20 seconds") -> DataFrame:
-    """Incidents as event-time sessions per source and type."""
+def incident_stream(events: DataFrame, gap_s: float = 20.0) -> DataFrame:
+    """Incidents as event-time sessions per source and type; an event just ``gap_s`` after the last one still belongs to it."""
+    gap = f"{round(gap_s * 1_000_000) + 1} microseconds"
     rank = expr.severity_rank(F.col("severity"))
     return (events.groupBy("source", "type", F.session_window("event_ts", gap).alias("s"))
             .agg(F.count("*").alias("count"), F.max("score").alias("peak_score"), F.max(rank).alias("severity_rank"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
