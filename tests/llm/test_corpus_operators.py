@@ -220,13 +220,33 @@ def test_nearest_neighbours(spark):
         if 100 <= q < 400:
             assert g.vec_id.tolist() == best  # the members of the hot vector, by id, beside the longer vectors
         hit += len(set(best) & set(g.vec_id)) / 20
-    assert hit / got.query_id.nunique() > 0.8
+    assert hit / got.query_id.nunique() >= 0.95
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert nndescent.Graph(few).search(few.select(F.col("vec_id").alias("query_id"))).count() == 6
     none = few.limit(0)
     assert nndescent.Graph(none).search(none.select(F.col("vec_id").alias("query_id"))).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["one of 200", "one of 30", "lognormal", "unit"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= rng.lognormal(0, 1.2, (1500, 1))
+    elif norms != "unit":
+        x[777] *= float(norms.split()[-1])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    graph = nndescent.Graph(table)
+    got = graph.search(spark.range(0, 1500, 20).withColumnRenamed("id", "query_id")).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id)) / 20
+    assert hit / 75 >= 0.95
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.01"
     got = nndescent.op10_nn_descent(spark, sf).toPandas()
@@ -237,7 +257,7 @@ def test_recall_on_the_table(spark):
         s = x @ x[q]
         s[q] = -np.inf
         hit += len(set(ids[np.argsort(-s)[:20]]) & set(got[got.query_id == ids[q]].vec_id)) / 20
-    assert hit / (ids % 20 == 0).sum() > 0.9
+    assert hit / (ids % 20 == 0).sum() >= 0.95
 
 
 # --- the pipeline ---
@@ -294,3 +314,38 @@ def test_language_stage_drops_what_no_language_explains(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(planted, True).unionByName(long, True), sf).select("doc_id").collect()}
     assert not any(d >= 10 ** 9 for d in kept) and 10 ** 8 in kept
     assert len(kept) > 0.97 * docs.filter("text rlike '[A-Za-z]'").count()
+
+
+CLASHES = ("_good", "_quality", "_language", "_sure", "_reads", "_key", "_slot", "_bucket", "_bits", "_hit", "stays", "column0", "kept", "keep_id", "group_size", "mark", "n", "row", "_len", "_full")
+
+
+def test_stages_keep_clashing_columns_and_one_of_repeated_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 400").orderBy("doc_id").limit(40).cache()
+    first = docs.orderBy("doc_id").limit(2)
+    rows = docs.unionByName(first).unionByName(first)
+    for c in CLASHES:
+        rows = rows.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    repeated = {r["doc_id"] for r in first.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, rows, sf)
+        assert after.columns == rows.columns
+        got = after.collect()
+        assert all(r[c] == c + str(r["doc_id"]) for r in got for c in CLASHES)
+        times = [r["doc_id"] for r in got]
+        for d in repeated & set(times):
+            assert times.count(d) == (1 if name in ("exact_dedup", "near_dedup") else 3)
+        if name == "near_dedup":
+            assert repeated <= set(times) or len(set(times)) < 40
+    packed = corpus_pipeline.packing_stage(spark, rows, sf).groupBy("doc_id", "piece").count()
+    assert packed.filter(f"doc_id in ({', '.join(map(str, repeated))}) and piece = 0 and count <> 3").isEmpty()
+
+
+def test_near_stage_keeps_one_of_equal_rows(spark):
+    text = "a calm line about rivers and hills that nobody has written before today"
+    other = "quite another document that speaks of ships and harbours and of the weather"
+    for rows in ([(1, text), (1, text), (2, other)], [(1, text), (1, text), (2, text + " again"), (3, other)], [(None, text), (None, text)], [(1, None), (1, None), (2, "")]):
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, frame(spark, rows), "").collect()]
+        sets, roots = brute_components(rows, 5, 80)
+        groups = {r if s else ("alone", i) for i, (s, r) in enumerate(zip(sets, roots))}
+        assert len(got) == len(groups) and set(got) <= set(rows)
