@@ -1,6 +1,7 @@
 """Text screening: caption lexicon, corroboration, closed-question answers, adjudication."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -27,14 +28,20 @@ def screened_text(text: Column, parity: bool = False) -> Column:
     return F.when(has & none, F.lit(None).cast("string")).when(has, F.lower(expr.strip(answer))).otherwise(F.lower(text))
 
 
+SENTENCE_END = r"[.!?;\n]"
+ANY_HIT = "|".join(f"(?:{pattern})" for pattern, *_ in dims.LEXICON)
+
+
+def matching(pattern: str) -> Callable[[Column], Column]:
+    return lambda sentence: matches(sentence, pattern)
+
+
 def negated(before: Column, parity: bool = False) -> Column:
-    """Does a negation govern the text that follows ``before``?
+    """Does a negation govern the text that follows ``before``, which starts with its sentence?
 
-    It reaches back to the start of the sentence and is cut by a contrast word.
-    ``parity`` ignores contractions such as "isn't".
+    A contrast word cuts it. ``parity`` ignores contractions such as "isn't".
     """
-    sentence = F.regexp_extract(before, r"(?s)([^.!?;\n]*)$", 1)
-    scope = F.element_at(F.split(sentence, dims.CONTRAST, -1), -1)
+    scope = F.element_at(F.split(before, dims.CONTRAST, -1), -1)
     cue = matches(scope, dims.NEGATION)
     return cue if parity else cue | matches(scope, dims.NEGATION_CONTRACTED)
 
@@ -42,17 +49,20 @@ def negated(before: Column, parity: bool = False) -> Column:
 def screen_captions(captions: DataFrame, parity: bool = False) -> DataFrame:
     """Lexicon hits of each caption: the first match of each pattern, unless negated.
 
-    The lexicon is a constant list of patterns, so it becomes one array column of
-    compiled expressions rather than a join.
+    A negation does not reach beyond its sentence, so texts are cut into sentences once, and only
+    sentences with some match are looked at: one alternation of the whole lexicon picks
+    them. The lexicon is a constant list, so its patterns become one array column of compiled
+    expressions rather than a join. Work grows with the length of a text, whatever it says.
     """
-    base = captions.withColumn("_text", screened_text(F.col("text"), parity)).filter(F.col("_text").isNotNull())
+    base = captions.withColumn("_text", screened_text(F.col("text"), parity)).filter(F.col("_text").isNotNull() & matches(F.col("_text"), ANY_HIT))
+    base = base.withColumn("_said", F.filter(F.split("_text", SENTENCE_END, -1), lambda s: matches(s, ANY_HIT)))
     hits = []
     for i, (pattern, etype, severity, score) in enumerate(dims.LEXICON):
-        lead = F.regexp_extract(F.col("_text"), f"(?s)^(.*?)({pattern})", 1)
-        hit = F.regexp_extract(F.col("_text"), pattern, 0)
-        hits.append(F.when(matches(F.col("_text"), pattern) & ~negated(lead, parity), F.struct(
+        first = F.get(F.filter("_said", matching(pattern)), F.lit(0))
+        lead = F.regexp_extract(first, f"(?s)^(.*?)(?:{pattern})", 1)
+        hits.append(F.when(first.isNotNull() & ~negated(lead, parity), F.struct(
             F.lit(i).alias("pattern_no"), F.lit(etype).alias("type"), F.lit(severity).alias("severity"),
-            F.lit(score).alias("base"), hit.alias("match"))))
+            F.lit(score).alias("base"), F.regexp_extract(first, pattern, 0).alias("match"))))
     return (base.withColumn("_h", F.explode(F.array_compact(F.array(*hits)))).select(*captions.columns, "_h.*"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from framelore import dims
 from framelore.functions import expr
 from framelore.operators.slices import grid_join
+from framelore.session import materialise
 
 FRAME = ["source", "frame_no"]
 
@@ -264,7 +265,7 @@ def augment_clips(joints: DataFrame, seed: int = 0, flip: float = 0.5, rotate_de
 
 # ── interaction features ─────────────────────────────────────────────────────
 
-def sample_motion(joints: DataFrame, conf: float = 0.3, slice_s: float = 600.0, max_step_s: float = 5.0) -> DataFrame:
+def sample_motion(joints: DataFrame, conf: float = 0.3) -> DataFrame:
     """Mean displacement of joints seen in two consecutive samples, over the frame diagonal.
 
     ``joints``: source, sample_no, t, person, joint, x, y, c, frame_w, frame_h,
@@ -278,17 +279,56 @@ def sample_motion(joints: DataFrame, conf: float = 0.3, slice_s: float = 600.0,
     return seen.join(before, [*key, "sample_no"]).groupBy("source", "sample_no").agg(F.avg(step).alias("motion"))
 
 
-def interaction_features(joints: DataFrame, conf: float = 0.3) -> DataFrame:
-    """Per sample: people, smallest gap between two of them (over the diagonal), motion since the last sample.
+CROWD = 16  # people of a sample, or of a grid cell, whose pairs are simply compared
+
+
+def closest_pairs(points: DataFrame, keys: Sequence[str], x: str = "px", y: str = "py") -> DataFrame:
+    """The smallest distance (``gap``) between two points of each key; keys of one point are left out.
 
-    At most four people per sample are expected, as the scan keeps the top four.
+    A few points are compared with each other. More are laid in a grid whose cells are as wide as
+    a distance that some pair is known to keep: of n points in a box, two share one of fewer
+    than n equal parts of it. Where a cell is still crowded the same holds inside it, which
+    makes the cells smaller by a factor of 2.8 at least; once none is, every point
+    meets the points of its own and the eight cells around it.
     """
+    rows = points.groupBy(*keys, x, y).agg(F.count("*").alias("_times"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_times").alias("_most"), F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    sizes = materialise(sizes, "sizes")
+    same = sizes.filter("_most > 1").select(*keys, F.lit(0.0).alias("gap"))
+    sizes = sizes.filter("_most = 1 and _n > 1")
+    dist = lambda ax, ay, bx, by: F.sqrt((ax - bx) ** 2 + (ay - by) ** 2)
+    few = rows.join(sizes.filter(F.col("_n") <= CROWD).select(*keys), list(keys)).groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).alias("_c"))
+    gap = F.array_min(F.flatten(F.transform("_c", lambda a, i: F.transform(F.slice("_c", i + 2, F.size("_c")), lambda b: dist(a["x"], a["y"], b["x"], b["y"])))))
+    found = same.unionByName(few.select(*keys, gap.alias("gap")))
+    parts = lambda n: F.floor(F.sqrt(F.col(n) - 1))
+    many = sizes.filter(F.col("_n") > CROWD)
+    if many.isEmpty():
+        return found
+    wide = dist(F.col("_x1"), F.col("_y1"), F.col("_x0"), F.col("_y0")) / parts("_n")
+    known = materialise(many.select(*keys, wide.alias("_d")), "known")
+    crowd = materialise(rows.join(known.select(*keys), list(keys), "left_semi").select(*keys, x, y), "crowd")
+    cell = lambda c: F.floor(F.col(c) / F.col("_d")).cast("long")
+    while True:
+        placed = crowd.join(known, list(keys)).withColumn("_cx", cell(x)).withColumn("_cy", cell(y))
+        full = placed.groupBy(*keys, "_d", "_cx", "_cy").agg(F.count("*").alias("_in")).filter(F.col("_in") > CROWD)
+        finer = materialise(full.groupBy(*keys).agg(F.min(F.col("_d") * 2 ** 0.5 / parts("_in")).alias("_finer")), "finer")
+        if finer.isEmpty():
+            break
+        known = materialise(known.join(finer, list(keys), "left").select(*keys, F.coalesce("_finer", "_d").alias("_d")), "known")
+    around = F.array(*[F.lit(k).cast("long") for k in (-1, 0, 1)])
+    near = placed.withColumn("_cx", F.explode(F.transform(around, lambda k: F.col("_cx") + k))).withColumn("_cy", F.explode(F.transform(around, lambda k: F.col("_cy") + k)))
+    other = placed.select(*keys, "_cx", "_cy", F.col(x).alias("_ox"), F.col(y).alias("_oy"))
+    met = near.join(other, [*keys, "_cx", "_cy"]).filter((F.col(x) < F.col("_ox")) | ((F.col(x) == F.col("_ox")) & (F.col(y) < F.col("_oy"))))
+    return found.unionByName(met.groupBy(*keys).agg(F.min(dist(F.col(x), F.col(y), F.col("_ox"), F.col("_oy"))).alias("gap")))
+
+
+def interaction_features(joints: DataFrame, conf: float = 0.3) -> DataFrame:
+    """Per sample: people, smallest gap between two of them (over the diagonal), motion since the last sample."""
     samples = joints.groupBy("source", "sample_no", "t").agg(expr.diagonal(F.first("frame_w"), F.first("frame_h")).alias("diag"))
-    centre = joints.filter(F.col("c") > conf).groupBy("source", "sample_no", "person").agg(F.avg("x").alias("px"), F.avg("y").alias("py"))
-    people = centre.groupBy("source", "sample_no").agg(F.count("*").alias("people"), F.collect_list(F.struct("px", "py")).alias("c"))
-    gap = F.array_min(F.flatten(F.transform("c", lambda a, i: F.transform(F.slice("c", i + 2, F.size("c")),
-                      lambda b: F.sqrt((a["px"] - b["px"]) ** 2 + (a["py"] - b["py"]) ** 2)))))
-    people = people.select("source", "sample_no", "people", gap.alias("_gap"))
+    centre = materialise(joints.filter(F.col("c") > conf).groupBy("source", "sample_no", "person").agg(F.avg("x").alias("px"), F.avg("y").alias("py")), "centres")
+    people = centre.groupBy("source", "sample_no").agg(F.count("*").alias("people"))
+    gaps = closest_pairs(centre, ["source", "sample_no"]).withColumnRenamed("gap", "_gap")
+    people = people.join(gaps, ["source", "sample_no"], "left")
     return (samples.join(people, ["source", "sample_no"], "left").join(sample_motion(joints, conf), ["source", "sample_no"], "left")
             .select("source", "sample_no", "t", F.coalesce("people", F.lit(0)).alias("people"), (F.col("_gap") / F.col("diag")).alias("gap"),
                     F.coalesce("motion", F.lit(0.0)).alias("motion")))
