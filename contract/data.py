@@ -133,7 +133,7 @@ SELECT span_id, CAST(k AS BIGINT) AS k, start + k AS t_start FROM spans, range(0
 R.query("scale_windows", with_views("""
 SELECT span_id, CAST(s AS BIGINT) AS scale, CAST(b AS BIGINT) AS back FROM spans, (VALUES (100, 16), (45, 7), (20, 1)) v(s, st), range(0, 26) r(b)
 WHERE n_frames >= s AND b % st = 0 AND b <= n_frames - s AND b / st < 40 UNION ALL SELECT span_id, n_frames, 0 FROM spans WHERE n_frames > 0 AND n_frames < 20""", "spans"))(
-    lambda T: fr.scale_windows(T.spans.withColumnRenamed("n_frames", "n")).select("span_id", F.col("scale").cast("long").alias("scale"), "back"))
+    lambda T: fr.scale_windows(T.spans.withColumnRenamed("n_frames", "n"), cap=40).select("span_id", F.col("scale").cast("long").alias("scale"), "back"))
 R.query("fit_length", with_views("""
 SELECT span_id, array_to_string(list_transform(range(0, 12), lambda i: CASE WHEN n > 12 THEN i + CAST(floor((n - 12) / 2) AS BIGINT) ELSE i % n END), ',') AS frames
 FROM (SELECT span_id, 1 + n_frames % 30 AS n FROM spans) z""", "spans"))(
@@ -294,7 +294,7 @@ SELECT count(*) AS normal_clips, count(*) FILTER (y_pred NOT IN (0, 7)) AS misfl
 R.query("class_weights", with_views("SELECT label, n, round(tot / (k * n)::DOUBLE, 6) AS weight FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS tot, count(*) OVER () AS k FROM ann GROUP BY label) z", "ann"))(
     lambda T: me.class_weights(ann(T)).withColumn("weight", F.round("weight", 6)))
 R.query("misclassified", with_views("SELECT clip_id, y_true, y_pred FROM preds WHERE y_true <> y_pred ORDER BY clip_id, y_true, y_pred LIMIT 10", "preds"))(
-    lambda T: T.preds.filter("y_true <> y_pred").orderBy("clip_id", "y_true", "y_pred").limit(10).select("clip_id", "y_true", "y_pred"))
+    lambda T: me.misclassified(T.preds, 10).select("clip_id", "y_true", "y_pred"))
 TH = ", ".join(f"({t}::DOUBLE)" for t in dims.SWEEP_THRESHOLDS)
 R.query("sweep_negatives", with_views(f"""
 WITH s AS (SELECT source * 1000000 + frame_no AS frame_id, cls AS class_id, confidence AS score FROM det WHERE cls IN ('knife', 'chair')), th(threshold) AS (VALUES {TH}),

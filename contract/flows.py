@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from contract.base import Registry, add_view, with_views
 from contract import data, people, text  # noqa: F401  (their views are used here)
+from contract.incidents import clusters, tc
 from contract.perception import ZONES, poses
 from framelore.config import DEFAULTS
 from framelore.plans import review
@@ -20,8 +21,43 @@ def found(T):
 
 
 R.query("detect_events")(lambda T: found(T).drop("evidence", "subject"))
-R.query("build_report")(lambda T: review.build_report(T.ev, T.cap, None, 45.0))
-R.query("session_report")(lambda T: review.session_report(T.ev, None, 45.0))
+
+
+def told(report):
+    """A report's rows by what they are about: (source, section, key, value)."""
+    body = lambda name: F.coalesce(F.get_json_object("body", f"$.{name}"), F.lit(""))
+    join = lambda *names: F.concat_ws("|", *[body(n) for n in names])
+    key, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, k, v in (("summary", (), ("incidents", "critical_count", "high_count")), ("incidents", ("type", "incident_no"), ("count", "severity", "detail")),
+                       ("recommended_actions", ("type", "timecode"), ("priority",)), ("counts", ("severity", "type"), ("n",)), ("observations", ("caption_id",), ("text",)),
+                       ("persons", ("entity_id",), ("involved_count", "present_only_count", "appearance_count")),
+                       ("vehicles", ("entity_id", "plate"), ("collision_events", "left_scene", "incident_count")), ("repeat_subjects", ("entity_id", "event_id"), ("incident_count", "severity"))):
+        key, value = F.when(F.col("section") == name, join(*k) if k else F.lit("")).otherwise(key), F.when(F.col("section") == name, join(*v)).otherwise(value)
+    return report.select("source", "section", key.alias("key"), value.alias("value"))
+
+
+def report_sql(src: str, start: str) -> str:
+    """The sections that come from events alone; ``start`` is what times count from."""
+    return clusters(src, 45.0) + f""",
+rep AS (SELECT source, 'summary' AS section, '' AS key, count(*) || '|' || count(*) FILTER (severity = 'critical') || '|' || count(*) FILTER (severity = 'high') AS value FROM incidents GROUP BY source
+UNION ALL SELECT source, 'incidents', type || '|' || incident_no, count || '|' || severity || '|' || detail FROM incidents
+UNION ALL SELECT source, 'recommended_actions', type || '|' || {tc(f"(first_t - {start})")}, severity FROM incidents
+UNION ALL SELECT source, 'counts', severity || '|' || type, CAST(count(*) AS VARCHAR) FROM {src} GROUP BY source, severity, type)"""
+
+
+R.query("build_report", with_views("WITH " + report_sql("ev", "0") + """,
+tied AS (SELECT entity_id, count(*) AS n, count(*) FILTER (role = 'involved') AS inv, count(*) FILTER (role <> 'involved') AS pres, count(*) FILTER (type LIKE 'vehicle_%') AS crash,
+         bool_or(type = 'vehicle_left_scene') AS lefts FROM links GROUP BY entity_id),
+seen AS (SELECT entity_id, count(*) AS n FROM sights GROUP BY entity_id)
+SELECT * FROM rep
+UNION ALL SELECT source, 'observations', CAST(caption_id AS VARCHAR), text FROM cap WHERE NOT starts_with(lower(text), 'no incident observed')
+UNION ALL SELECT source, 'persons', CAST(e.entity_id AS VARCHAR), coalesce(inv, 0) || '|' || coalesce(pres, 0) || '|' || coalesce(s.n, 0) FROM ents e LEFT JOIN tied t ON t.entity_id = e.entity_id LEFT JOIN seen s ON s.entity_id = e.entity_id WHERE kind = 'person'
+UNION ALL SELECT source, 'vehicles', e.entity_id || '|' || coalesce(plate, ''), coalesce(crash, 0) || '|' || coalesce(lefts, FALSE) || '|' || coalesce(t.n, 0) FROM ents e LEFT JOIN tied t ON t.entity_id = e.entity_id WHERE kind = 'vehicle'
+UNION ALL SELECT source, 'repeat_subjects', l.entity_id || '|' || l.event_id, t.n || '|' || l.severity FROM links l JOIN tied t ON t.entity_id = l.entity_id AND t.n > 1 JOIN ents e ON e.entity_id = l.entity_id""",
+    "ev", "cap", "ents", "links", "sights"))(
+    lambda T: told(review.build_report(T.ev, T.cap, None, 45.0, top=5, appearances=20, entities=T.ents, sightings=T.sights, links=T.links)))
+R.query("session_report", with_views("WITH se AS (SELECT *, min(t) OVER (PARTITION BY source) AS t0 FROM ev)," + report_sql("se", "(SELECT min(t) FROM ev e WHERE e.source = incidents.source)") + " SELECT * FROM rep", "ev"))(
+    lambda T: told(review.session_report(T.ev, None, 45.0, top=5)))
 
 add_view("times", ["orders"], """
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR(10)) || '.5' WHEN 1 THEN ' ' || CAST(o_custkey % 60 AS VARCHAR(10)) || ':' || CAST(o_orderkey % 60 AS VARCHAR(10)) || '.25'

@@ -78,7 +78,7 @@ FROM incidents i LEFT JOIN (
   FROM (SELECT *, row_number() OVER (PARTITION BY source, type, incident_no ORDER BY t, event_id) AS n FROM s2 WHERE snapshot IS NOT NULL)
   WHERE n <= 5 GROUP BY source, type, incident_no) s
 ON s.source = i.source AND s.type = i.type AND s.incident_no = i.incident_no""", "ev"))(
-    lambda T: inc.cluster_events(T.ev, 45.0).withColumn("snapshots", F.array_join("snapshots", ","))
+    lambda T: inc.cluster_events(T.ev, 45.0, 5).withColumn("snapshots", F.array_join("snapshots", ","))
     .select("source", "type", "incident_no", "count", "first_t", "last_t", "peak_score", "label", "severity", "detail",
             "first_event_id", "rule", "any_repeat", "first_timecode", "last_timecode", "snapshots"))
 
@@ -99,7 +99,7 @@ SELECT source, count(*) AS incidents, count(*) FILTER (severity = 'critical') AS
        || max(CASE WHEN a = 1 THEN {tc('first_t')} END) || ' (' || max(CASE WHEN a = 1 THEN severity END) || ').' AS headline,
        (SELECT string_agg(type, ',' ORDER BY r) FROM ty WHERE ty.source = lead.source AND r <= 5) AS dominant_types
 FROM lead GROUP BY source""", "ev"))(
-    lambda T: inc.summary(inc.cluster_events(T.ev, 45.0), T.ev).withColumn("dominant_types", F.array_join("dominant_types", ",")))
+    lambda T: inc.summary(inc.cluster_events(T.ev, 45.0), T.ev, top=5).withColumn("dominant_types", F.array_join("dominant_types", ",")))
 
 # ── entities = customers, incident links = orders, sightings = orders by date ──
 add_view("links", ["alerts"], """
@@ -117,7 +117,7 @@ SECTION = """
 SELECT e.entity_id, e.label, {cols},
        coalesce(s.n, 0) AS appearance_count, coalesce(l.n, 0) AS incident_count, coalesce(s.shown, '') AS appearances
 FROM ents e
-LEFT JOIN (SELECT entity_id, count(*) AS n, string_agg(timecode, ',' ORDER BY seq) FILTER (seq <= 20) AS shown FROM sights GROUP BY entity_id) s
+LEFT JOIN (SELECT entity_id, count(*) AS n, string_agg(timecode, ',' ORDER BY seq) FILTER (back <= 20) AS shown FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY seq DESC) AS back FROM sights) z GROUP BY entity_id) s
   ON s.entity_id = e.entity_id
 LEFT JOIN (SELECT entity_id, count(*) AS n, count(*) FILTER (role = 'involved') AS inv, count(*) FILTER (role <> 'involved') AS pres,
                   count(*) FILTER (type LIKE 'vehicle_%') AS crash, bool_or(type = 'vehicle_left_scene') AS lefts FROM links GROUP BY entity_id) l
@@ -125,12 +125,12 @@ LEFT JOIN (SELECT entity_id, count(*) AS n, count(*) FILTER (role = 'involved')
 WHERE e.kind = '{kind}'"""
 R.query("people_section", with_views(SECTION.format(
     kind="person", cols="coalesce(l.inv, 0) AS involved_count, coalesce(l.pres, 0) AS present_only_count"), "ents", "sights"))(
-    lambda T: inc.people_section(T.ents.drop("plate"), T.sights, T.links).drop("basis")
+    lambda T: inc.people_section(T.ents.drop("plate"), T.sights, T.links, 20).drop("basis")
     .withColumn("appearances", F.array_join("appearances", ",")))
 R.query("vehicle_section", with_views(SECTION.format(
     kind="vehicle", cols="e.plate, coalesce(l.crash, 0) AS collision_events, coalesce(l.crash > 0, FALSE) AS involved_in_collision, "
                          "coalesce(l.lefts, FALSE) AS left_scene"), "ents", "sights"))(
-    lambda T: inc.vehicle_section(T.ents, T.sights, T.links).drop("basis").withColumn("appearances", F.array_join("appearances", ",")))
+    lambda T: inc.vehicle_section(T.ents, T.sights, T.links, 20).drop("basis").withColumn("appearances", F.array_join("appearances", ",")))
 R.query("repeat_subjects", with_views("""
 SELECT l.entity_id, l.event_id, l.type, l.severity, l.t, e.kind, e.label, c.n AS incident_count
 FROM links l JOIN ents e ON e.entity_id = l.entity_id
@@ -145,7 +145,7 @@ SELECT event_id, entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY t
 R.query("observations", """
 SELECT doc_id AS caption_id, CAST(doc_id AS DOUBLE) * 4 AS t, text FROM documents
 WHERE NOT starts_with(lower(text), 'no incident observed') ORDER BY doc_id LIMIT 40""")(
-    lambda T: inc.observations(T.documents.select(F.col("doc_id").alias("caption_id"), (F.col("doc_id") * 4.0).alias("t"), "text")))
+    lambda T: inc.observations(T.documents.select(F.col("doc_id").alias("caption_id"), (F.col("doc_id") * 4.0).alias("t"), "text"), 40))
 
 
 def caveat_facts(T):

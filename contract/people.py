@@ -81,7 +81,7 @@ def ents(T):
 R.query("registry_stats", with_views("""SELECT count(*) AS total, count(*) FILTER (kind = 'vehicle') AS vehicles, count(*) FILTER (kind = 'person') AS persons,
  count(*) FILTER (entity_id IN (SELECT entity_id FROM links)) AS with_incidents FROM ents""", "ents", "links"))(lambda T: idn.registry_stats(T.ents, T.links))
 R.query("list_entities", with_views("SELECT entity_id, label FROM ents WHERE kind = 'vehicle' AND entity_id IN (SELECT entity_id FROM links) ORDER BY c_acctbal DESC, entity_id LIMIT 200", "ents", "links"))(
-    lambda T: idn.list_entities(ents(T), T.links, "vehicle", True).select("entity_id", "label"))
+    lambda T: idn.list_entities(ents(T), T.links, "vehicle", True, limit=200).select("entity_id", "label"))
 R.query("linked_entities", with_views("SELECT entity_id, kind FROM ents WHERE entity_id IN (SELECT entity_id FROM alerts)", "ents", "alerts"))(
     lambda T: idn.linked_entities(T.alerts.select("event_id", F.array(F.struct("entity_id")).alias("entities")), T.ents).select("entity_id", "kind"))
 R.query("link_incident", with_views("SELECT entity_id, event_id, 'seen' AS role, severity FROM links UNION ALL SELECT entity_id, event_id, 'involved', severity FROM alerts", "links", "alerts"))(

@@ -156,7 +156,7 @@ p AS (SELECT conv_id, pos, role, length({turn_sql(QWEN)}) AS n FROM good),
 s AS (SELECT *, {LEAD} + coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM p)
 SELECT conv_id, pos, CAST(least(a, 2048) AS BIGINT) AS start, CAST(least(a + n, 2048) AS BIGINT) AS "end", role = 'gpt' AND least(a + n, 2048) - 0 > 0 AND n > {len(QWEN.gpt)} AS is_target
 FROM s WHERE a < 2048 UNION ALL SELECT DISTINCT conv_id, -1, 0, {LEAD}, FALSE FROM good""", "sft"))(
-    lambda T: ins.target_spans(ins.clean_turns(T.sft)[0], QWEN))
+    lambda T: ins.target_spans(ins.clean_turns(T.sft)[0], QWEN, 2048))
 R.query("sample_lengths", with_views(r"""
 WITH n AS (SELECT conv_id, has_image, sum(len(list_filter(regexp_split_to_array(value, '\s+'), lambda x: x <> ''))) AS w FROM sft GROUP BY ALL)
 SELECT conv_id, has_image, CAST(w + CASE WHEN has_image THEN 128 ELSE 0 END AS BIGINT) AS length, CAST(CASE WHEN has_image THEN w ELSE -w END AS BIGINT) AS modality_length FROM n""", "sft"))(

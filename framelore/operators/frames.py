@@ -155,12 +155,12 @@ def clip_windows(spans: DataFrame, frames: int = 16, stride_s: float = 1.0) -> D
             .withColumn("t_start", F.col("start") + F.col("k") * stride_s).drop("_n"))
 
 
-def scale_windows(buffers: DataFrame, scales: Sequence[int] = (100, 45, 20), stride: int = 25, cap: int = 40) -> DataFrame:
+def scale_windows(buffers: DataFrame, scales: Sequence[int] = (100, 45, 20), stride: int = 25, cap: int | None = None) -> DataFrame:
     """Windows searched per temporal scale of a buffer of ``n`` frames.
 
     The shortest scale is tried at every alignment, longer ones every sixth of
     their length, reaching back at most ``stride`` frames. Scales that do not fit
-    are skipped; if none fits the whole buffer is one window.
+    are skipped; if none fits the whole buffer is one window. ``cap`` keeps the first windows of a scale.
     """
     parts = []
     short = min(scales)
@@ -168,7 +168,8 @@ def scale_windows(buffers: DataFrame, scales: Sequence[int] = (100, 45, 20), str
     for s in sorted(scales, reverse=True):
         step = 1 if s == short else max(1, s // 6)
         back = F.greatest(F.lit(0), F.least(F.lit(stride), F.col("n") - s))
-        steps = F.slice(F.sequence(F.lit(0).cast("long"), back.cast("long"), F.lit(step).cast("long")), 1, cap)
+        steps = F.sequence(F.lit(0).cast("long"), back.cast("long"), F.lit(step).cast("long"))
+        steps = steps if cap is None else F.slice(steps, 1, cap)
         parts.append(F.when(F.col("n") >= s, F.transform(steps, window(s)))
                      .otherwise(F.array().cast("array<struct<scale:int,back:bigint>>")))
     whole = F.when((F.col("n") < short) & (F.col("n") > 0), F.array(F.struct(F.col("n").cast("int").alias("scale"), F.lit(0).cast("long").alias("back")))) \

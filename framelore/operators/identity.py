@@ -147,7 +147,7 @@ def registry_stats(entities: DataFrame, links: DataFrame) -> DataFrame:
         F.count_if(F.col("_l")).alias("with_incidents"))
 
 
-def list_entities(entities: DataFrame, links: DataFrame, kind: str | None = None, with_incidents_only: bool = False, limit: int = 200) -> DataFrame:
+def list_entities(entities: DataFrame, links: DataFrame, kind: str | None = None, with_incidents_only: bool = False, *, limit: int) -> DataFrame:
     out = entities if kind is None else entities.filter(F.col("kind") == kind)
     if with_incidents_only:
         out = out.join(links.select("entity_id").distinct(), "entity_id", "left_semi")

@@ -97,20 +97,20 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
 
 
-def target_spans(turns: DataFrame, t: Template, max_len: int = 2048) -> DataFrame:
+def target_spans(turns: DataFrame, t: Template, max_len: int | None = None) -> DataFrame:
     """Character spans of each prompt and whether they are learned: only assistant text is.
 
-    Nothing is learned past ``max_len`` characters. The system text is span -1.
+    With ``max_len``, nothing is learned past so many characters. The system text is span -1.
     """
     w = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     lead = len(head_text(t))
     body = turns.withColumn("_t", turn_text(t)).withColumn("_len", F.length("_t").cast("long"))
     body = body.withColumn("start", F.coalesce(F.sum("_len").over(w), F.lit(0)) + lead).withColumn("end", F.col("start") + F.col("_len"))
     label = F.when(F.col("role") == "gpt", F.length(F.lit(t.gpt))).otherwise(0)
-    cut = lambda c: F.least(c, F.lit(max_len).cast("long"))
+    cut = lambda c: c if max_len is None else F.least(c, F.lit(max_len).cast("long"))
     body = body.select("conv_id", "pos", cut(F.col("start")).alias("start"), cut(F.col("end")).alias("end"), ((F.col("role") == "gpt") & (F.col("end") - F.col("start") > label)).alias("is_target"))
     head = turns.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("start"),
-                                                     F.lit(min(lead, max_len)).cast("long").alias("end"), F.lit(False).alias("is_target"))
+                                                     F.lit(lead if max_len is None else min(lead, max_len)).cast("long").alias("end"), F.lit(False).alias("is_target"))
     return head.unionByName(body).filter(F.col("end") > F.col("start"))
 
 

@@ -11,7 +11,7 @@ def at_least(df: DataFrame, min_severity: str | None) -> DataFrame:
     return df if min_severity is None else df.filter(expr.severity_rank(F.col("severity")) >= dims.SEVERITY_RANK.get(min_severity, 0))
 
 
-def list_alerts(alerts: DataFrame, limit: int = 100, min_severity: str | None = None, unacknowledged_only: bool = False) -> DataFrame:
+def list_alerts(alerts: DataFrame, limit: int, min_severity: str | None = None, unacknowledged_only: bool = False) -> DataFrame:
     """Newest first; the filters come before the limit."""
     out = at_least(alerts, min_severity)
     if unacknowledged_only:
@@ -19,12 +19,12 @@ def list_alerts(alerts: DataFrame, limit: int = 100, min_severity: str | None =
     return out.orderBy(F.desc("t"), F.desc("event_id")).limit(limit)
 
 
-def recent(events: DataFrame, limit: int = 50, min_severity: str | None = None) -> DataFrame:
+def recent(events: DataFrame, limit: int, min_severity: str | None = None) -> DataFrame:
     """The last events, then filtered: a floor can leave fewer than ``limit``."""
     return at_least(events.orderBy(F.desc("t"), F.desc("event_id")).limit(limit), min_severity)
 
 
-def list_events(events: DataFrame, limit: int = 500, min_severity: str | None = None) -> DataFrame:
+def list_events(events: DataFrame, limit: int, min_severity: str | None = None) -> DataFrame:
     return at_least(events, min_severity).orderBy("t", "event_id").limit(limit)
 
 

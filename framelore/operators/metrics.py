@@ -54,8 +54,9 @@ def sample_weights(clips: DataFrame) -> DataFrame:
     return clips.join(class_weights(clips).select("label", "weight"), "label")
 
 
-def misclassified(preds: DataFrame, n: int = 10) -> DataFrame:
-    return preds.filter(F.col("y_true") != F.col("y_pred")).orderBy("clip_id").limit(n)
+def misclassified(preds: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` wrong predictions, for a look at them."""
+    return preds.filter(F.col("y_true") != F.col("y_pred")).orderBy("clip_id", "y_true", "y_pred").limit(n)
 
 
 # ── threshold sweeps ─────────────────────────────────────────────────────────

@@ -39,12 +39,13 @@ def detect_events(dets: DataFrame, poses: DataFrame | None = None, preds: DataFr
     return materialise(inc.finalise(events, cfg), "kept")
 
 
-def build_report(events: DataFrame, captions: DataFrame | None = None, facts: DataFrame | None = None, gap_s: float = 20.0,
+def build_report(events: DataFrame, captions: DataFrame | None = None, facts: DataFrame | None = None, gap_s: float = 20.0, *, top: int, appearances: int = 0,
                  entities: DataFrame | None = None, sightings: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """The report in long form: source, section, place, body (JSON).
 
     With entities (their ``source``, kind and label), sightings and incident links, the
-    report has the sections of persons, vehicles and repeat subjects.
+    report has the sections of persons, vehicles and repeat subjects. ``top`` is how many dominant
+    types a summary names, ``appearances`` how many last appearances a subject has.
 
     Nothing is gathered per source: a source with a third of all events simply has
     more rows. Order by (source, section, place) to read it.
@@ -56,7 +57,7 @@ def build_report(events: DataFrame, captions: DataFrame | None = None, facts: Da
         place = F.struct(*order) if order else F.struct(F.lit(0).alias("o"))
         return df.select("source", F.lit(name).alias("section"), F.to_json(place).alias("place"), F.to_json(F.struct(*cols)).alias("body"))
 
-    parts = [section(inc.summary(incidents, events), "summary"),
+    parts = [section(inc.summary(incidents, events, top=top), "summary"),
              section(incidents.withColumn("order", 4 - F.col("severity_rank")), "incidents", "order", "first_time_s"),
              section(inc.recommended_actions(incidents), "recommended_actions", "video_time_s"),
              section(events.groupBy("source", "severity", "type").agg(F.count("*").alias("n")), "counts", "severity", "type")]
@@ -67,14 +68,14 @@ def build_report(events: DataFrame, captions: DataFrame | None = None, facts: Da
         parts.append(section(inc.caveats(facts, incidents).select("source", F.posexplode("caveats").alias("n", "caveat")), "caveats", "n"))
     if entities is not None:
         of = entities.select("entity_id", "source")
-        for name, rows in (("persons", inc.people_section(entities, sightings, links)), ("vehicles", inc.vehicle_section(entities, sightings, links)),
+        for name, rows in (("persons", inc.people_section(entities, sightings, links, appearances)), ("vehicles", inc.vehicle_section(entities, sightings, links, appearances)),
                            ("repeat_subjects", inc.repeat_subjects(entities, links))):
             parts.append(section(rows.join(of, "entity_id"), name, "entity_id"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def session_report(alerts: DataFrame, captions: DataFrame | None = None, gap_s: float = 20.0) -> DataFrame:
+def session_report(alerts: DataFrame, captions: DataFrame | None = None, gap_s: float = 20.0, *, top: int) -> DataFrame:
     """The same report for a live session: times count from its start."""
     start = alerts.groupBy("source").agg(F.min("t").alias("_t0"))
     shift = lambda df: df.join(start, "source").withColumn("t", F.col("t") - F.col("_t0")).drop("_t0")
-    return build_report(shift(alerts), captions if captions is None else shift(captions), None, gap_s)
+    return build_report(shift(alerts), captions if captions is None else shift(captions), None, gap_s, top=top)

@@ -72,7 +72,7 @@ def test_after_hours_and_report_sections(spark):
     seen = spark.createDataFrame([("p1", 1, "00:01"), ("v1", 1, "00:02")], "entity_id string, seq long, timecode string")
     links = spark.createDataFrame([("p1", 1, "violence", "high", 1.0, "involved"), ("p1", 2, "violence", "high", 9.0, "present"), ("v1", 3, "vehicle_collision", "high", 2.0, "involved")],
                                   "entity_id string, event_id long, type string, severity string, t double, role string")
-    report = review.build_report(events, None, None, 20.0, people, seen, links)
+    report = review.build_report(events, None, None, 20.0, top=5, appearances=20, entities=people, sightings=seen, links=links)
     assert {"persons", "vehicles", "repeat_subjects"} <= {r.section for r in report.select("section").distinct().collect()}
 
 
