@@ -7,7 +7,8 @@ literals, names, fields, ``==  !=  <  <=  >  >=  and  or  not  +  %``, filters (
 ``loop.index0 / index / first / last``. There are no calls, no attribute
 access on Python objects and no imports: names resolve to the values handed in and
 fields to keys of mappings. Templates are parsed to a syntax tree, constants are
-folded, and each node becomes one closure.
+folded, and each node becomes one closure. ``-`` and ``%`` take numbers, ``+`` two numbers or two texts,
+``<`` and its like two numbers or two texts; anything else is a ``TemplateError``.
 
 Control strings inside texts are escaped reversibly: a backslash goes before every
 backslash, ``<`` and ``[`` of a text, so no text can spell a marker, which all
@@ -15,8 +16,8 @@ start with a bare ``<`` or ``[``.
 
 Defined cases: null texts and roles are empty; turns go by (turn, role, text) with
 nulls first, repeated rows are repeated turns; a null conversation id is a
-conversation of its own; an empty table gives an empty result. One conversation
-is one output text, so it is rendered by one task, turn by turn.
+conversation of its own; an empty table gives an empty result; extra columns are dropped; texts of any
+length are rendered whole. One conversation is one output text, so it is rendered by one task, turn by turn.
 """
 from __future__ import annotations
 
@@ -52,20 +53,36 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
-FILTERS: dict[str, Callable[[Any], Any]] = {"escape": lambda v: escape(str(v)), "trim": lambda v: str(v).strip(), "upper": lambda v: str(v).upper(),
-                                            "lower": lambda v: str(v).lower(), "length": len}
-
 TAGS = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
 TOKEN = re.compile(r"\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|([A-Za-z]\w*)|(==|!=|<=|>=|[-<>+%.|()]))")
-COMPARE: dict[str, Callable[[Any, Any], bool]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
-                                                  ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-SUMS: dict[str, Callable[[Any, Any], Any]] = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "%": lambda a, b: a % b}
 
 
 class TemplateError(ValueError):
     pass
 
 
+def wrong(sign: str, *values: Any) -> Any:
+    raise TemplateError(f"{sign} does not take {' and '.join(type(v).__name__ for v in values)}")
+
+
+def number(v: Any) -> bool:
+    return isinstance(v, (int, float)) and not isinstance(v, bool)
+
+
+def ordered(sign: str, compare: Callable[[Any, Any], bool]) -> Callable[[Any, Any], bool]:
+    """A comparison of two numbers or two texts."""
+    return lambda a, b: compare(a, b) if number(a) and number(b) or isinstance(a, str) and isinstance(b, str) else wrong(sign, a, b)
+
+
+COMPARE: dict[str, Callable[[Any, Any], bool]] = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": ordered("<", lambda a, b: a < b), "<=": ordered("<=", lambda a, b: a <= b),
+                                                  ">": ordered(">", lambda a, b: a > b), ">=": ordered(">=", lambda a, b: a >= b)}
+# Python's % would format texts, to any length.
+SUMS: dict[str, Callable[[Any, Any], Any]] = {"+": lambda a, b: a + b if number(a) and number(b) or isinstance(a, str) and isinstance(b, str) else wrong("+", a, b),
+                                              "-": lambda a, b: a - b if number(a) and number(b) else wrong("-", a, b),
+                                              "%": lambda a, b: a % b if number(a) and number(b) and b else wrong("%", a, b)}
+FILTERS: dict[str, Callable[[Any], Any]] = {"escape": lambda v: escape(str(v)), "trim": lambda v: str(v).strip(), "upper": lambda v: str(v).upper(),
+                                            "lower": lambda v: str(v).lower(), "length": lambda v: len(v) if isinstance(v, (str, list, tuple, dict)) else wrong("length", v)}
+
 # --- Syntax tree: tuples ("kind", ...) ---
 
 class Expression:

@@ -12,8 +12,8 @@ n-grams are hashed to ``1 << BITS`` cells. Training reads a bounded sample: the
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; texts
 are read whole; languages with no training rows are never predicted; without any
-training row every text is ``und``. Repeated rows get equal results; extra columns
-are dropped.
+training row every text is ``und``. Repeated rows get equal results; of languages that
+fit equally the first by name is taken; extra columns are handed through, those of a result's name replaced.
 """
 from __future__ import annotations
 

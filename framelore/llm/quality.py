@@ -10,7 +10,8 @@ separates the labels of the sample best.
 
 Defined cases: null and empty texts have the offset alone and get its score; texts
 are read whole; without any labelled row of both classes every score is 0.5.
-Repeated rows get equal results; extra columns are dropped.
+Repeated rows get equal results; extra columns are handed through, those of a
+result's name replaced.
 """
 from __future__ import annotations
 

@@ -1,13 +1,15 @@
 """Encoding, chat formatting, classifiers and licence scans against brute force, on odd rows."""
 import hashlib
+import math
 import os
+import random
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from framelore.llm import bpe, chat, langid, licenses, quality
+from framelore.llm import bpe, chat, hilbert, langid, licenses, quality
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SF = "/root/testdata/sf0.001"
@@ -158,3 +160,79 @@ def test_license_rules(spark, odd):
     got = [(r["licenses"], r["unmatched"]) for r in licenses.scan_licenses(frame).orderBy("doc_id").collect()]
     assert got == [(["MIT"], []), (["BSD-3-Clause"], []), (["BSD-2-Clause"], []), (["Apache-2.0", "MIT"], []), ([], ["mit-keep"]), ([], []), ([], []), ([], [])]
     assert licenses.scan_licenses(odd).count() == len(ODD) + 1 and licenses.scan_licenses(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("source", ["{{ '%50000000d' % 1 }}", "{{ 1 + 'a' }}", "{{ 'a' - 'b' }}", "{{ 1 % 0 }}", "{{ 1 < 'a' }}", "{{ true + true }}", "{{ 3 | length }}", "{{ messages + messages }}", "{{ m - 1 }}"])
+def test_template_operators_take_numbers_or_texts_only(source):
+    with pytest.raises(chat.TemplateError):
+        chat.value_of(chat.fold(chat.parse(source))[1][0][1])({"messages": [1], "m": None})
+
+
+def test_ridge_regression_equals_a_direct_solution():
+    """Margins of the fitted model against kernels of sets of strings, an explicit feature map and a solver of its own."""
+    rng = random.Random(2)
+    words = {"aa": ["abba", "cadabra", "labda"], "bb": ["xylox", "zyx", "quux"], "cc": ["mnemo", "ono", "lemon"]}
+    rows = [(lang, " ".join(rng.choice(words[lang] + words["aa"][:1]) for _ in range(12))) for _ in range(14) for lang in words]
+    model = langid.fit(rows, landmarks=5)
+    grams = lambda t: {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    marks = [t for lang in sorted(words) for t in [x for of, x in rows if of == lang][:5]]
+    small = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(small)
+    keep = values > 1e-6 * values.max()
+    feature = lambda t: np.array([kernel(t, m) for m in marks]) @ vectors[:, keep] / np.sqrt(values[keep])
+    x = np.array([feature(t) for _, t in rows])
+    for k, lang in enumerate(sorted(words)):
+        y = np.array([1.0 if of == lang else -1.0 for of, _ in rows])
+        # Equal classes of equal size: plain centred ridge, as one least-squares problem with the penalty as rows.
+        xc, yc = x - x.mean(0), y - y.mean()
+        ridge = 1e-3 * np.trace(xc.T @ xc) / xc.shape[1]
+        solved = np.linalg.lstsq(np.vstack([xc, math.sqrt(ridge) * np.eye(xc.shape[1])]), np.concatenate([yc, np.zeros(xc.shape[1])]), rcond=None)[0]
+        want = np.array([(feature(t) - x.mean(0)) @ solved + y.mean() for t in ("abba zyx", "lemon ono", "quux abba")])
+        got = (model.kernel(["abba zyx", "lemon ono", "quux abba"]) @ model.weights + model.bias)[:, k]
+        assert np.allclose(got, want, atol=1e-3)
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(4)
+    data = [([rng.randrange(40) for _ in range(6)], [rng.uniform(0.1, 2) for _ in range(6)], rng.randrange(2), rng.choice([0.5, 1.0, 2.0])) for _ in range(200)]
+    ftrl, z, n = quality.Ftrl(), {}, {}
+    for at, value, label, weight in data:
+        at, value = zip(*sorted(dict(zip(at, value)).items()))
+        ftrl.update(np.array(at), np.array(value), label, weight)
+        w = {}
+        for i in at:
+            zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+            w[i] = 0.0 if abs(zi) <= ftrl.l1 else -(zi - math.copysign(ftrl.l1, zi)) / ((ftrl.beta + math.sqrt(ni)) / ftrl.alpha + ftrl.l2)
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at, value))))
+        for i, v in zip(at, value):
+            g = weight * (p - label) * v
+            step = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / ftrl.alpha
+            z[i], n[i] = z.get(i, 0.0) + g - step * w[i], n.get(i, 0.0) + g * g
+    assert all(abs(ftrl.z[i] - z[i]) < 1e-9 and abs(ftrl.n[i] - n[i]) < 1e-9 for i in z)
+
+
+def test_shards_of_the_query_equal_a_plain_count(spark):
+    """Sizes, checksums and the law of the query, and its order: slots follow the curve index of cells between exact quantiles."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = hilbert.op8_hilbert_shards(spark, sf).toPandas()
+    assert sorted(got.doc_id) == sorted(docs) and set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    for r in got.itertuples():
+        raw = docs[r.doc_id].encode()
+        assert r.size == len(raw) + 8 and r.text_crc32 == zlib.crc32(raw)
+    counts = got.groupby("shard").size()
+    assert sorted(counts.index) == list(range(24)) and counts.max() - counts.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_shards_prune_by_quantised_dimensions(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.random(), rng.random(), f"s{rng.randrange(20):02d}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c string").repartition(5)
+    got = hilbert.shard_hilbert(df, ["a", "b"], ["id"], 16).toPandas()
+    # 16 runs of a curve over two dimensions: a range of a quarter of one dimension touches about half of them, not all.
+    for c in ("a", "b"):
+        ends = got.groupby("shard")[c].agg(["min", "max"])
+        touched = [((ends["min"] < lo + 0.25) & (ends["max"] > lo)).sum() for lo in (0.0, 0.25, 0.5, 0.75)]
+        assert np.mean(touched) <= 10
