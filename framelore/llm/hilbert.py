@@ -7,8 +7,8 @@ covers a compact region of every dimension and min/max statistics prune it.
 
 Law ``rows``: shard sizes in rows differ by one at most. Null dimension values
 take the lowest cell; null text has no bytes; rows that agree in everything are
-interchangeable; an empty table gives an empty result; columns not named are
-dropped from the assignment, so their names cannot clash.
+interchangeable; an empty table gives an empty result; columns are handed through, but
+``shard`` and ``slot`` are replaced, and names that start with ``_`` are the operator's own.
 """
 from __future__ import annotations
 
