@@ -1,11 +1,11 @@
 """Evaluation metrics: confusion, sweeps, neighbour distances, rank statistics."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from framelore import dims
 from framelore.functions import expr
@@ -163,19 +163,27 @@ def hold_out(bank: DataFrame, spans: DataFrame, width: float = 60.0) -> DataFram
     return slices.overlap_join(w, s, ["video"], ("_lo", "_hi"), ("_start", "_end"), width).select("span_id", *bank.columns)
 
 
+SMALL_BANK = 1 << 20   # numbers of a bank (rows by dimension) that may be sent to every task: 8 MB
+
+
 def knn_distance(x: DataFrame, bank: DataFrame, k: int = 8, excluded: DataFrame | None = None, key: str = "vec_id",
                  group: str = "span_id", block: int = 2000) -> DataFrame:
     """Mean cosine distance of each vector to its k nearest bank vectors, at any size of the bank.
 
-    The bank is dealt into blocks of about ``block`` vectors, one row each; every batch
-    of vectors meets every block in one matrix product and keeps its k nearest of the
-    block, and the best of these are merged per vector. ``excluded`` lists (group, key)
+    A bank of at most ``SMALL_BANK`` numbers goes to every task, and the vectors stay where they
+    are. A larger one is dealt into blocks of about ``block`` vectors and the vectors into
+    blocks of four times as many; every pair of blocks meets in one matrix product that keeps the k nearest
+    of each vector, and the best of these are merged per vector. How often a vector or a
+    bank block is copied depends on both counts alone, not on the session. ``excluded`` lists (group, key)
     pairs that must not score: as many more candidates as a group has of them are kept
     for its rows, and the pairs are then removed by a join.
     """
+    first, total = bank.select(F.size("embedding").alias("d")).first(), bank.count()
+    none = float("nan")
+    if excluded is None and (first is None or total * first["d"] <= SMALL_BANK):
+        return near_small(x, bank, k)
     rows = materialise(x.withColumn("_row", F.monotonically_increasing_id()), "knn-rows")
-    total = bank.count()
-    count = max(1, -(-total // block))
+    count, deals = max(1, -(-total // block)), max(1, -(-rows.count() // (4 * block)))
     dealt = bank.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("_b"), F.struct(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).alias("_m"))
     blocks = dealt.groupBy("_b").agg(F.collect_list("_m").alias("_m"))  # ``block`` vectors a row
     wanted = F.lit(k)
@@ -184,36 +192,56 @@ def knn_distance(x: DataFrame, bank: DataFrame, k: int = 8, excluded: DataFrame
         barred = excluded.select(group, F.col(key).cast("long").alias("near")).distinct()
         asked = asked.join(barred.groupBy(group).agg(F.count(F.lit(1)).alias("_more")), group, "left")
         wanted = F.lit(k) + F.coalesce("_more", F.lit(0))
-    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = asked.select("_row", "_v", wanted.cast("long").alias("_want")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("_b", F.col("_b").cast("long"))
-    # Every block is copied to as many tasks as there are shuffle partitions, each with its share of the rows.
-    met = asked.withColumn("_p", F.pmod("_row", F.lit(parts).cast("long")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    met = asked.select("_row", "_v", wanted.cast("long").alias("_want"), F.pmod(F.xxhash64("_row"), F.lit(deals)).alias("_p"), every(count).alias("_b"))
+    spread = blocks.withColumn("_p", every(deals))
 
     def nearest(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"_row": [], "near": [], "sim": []})
-        m = np.stack([r["v"] for r in right["_m"].iloc[0]])
-        ids = np.array([r["id"] for r in right["_m"].iloc[0]])
-        m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
-        v = np.stack(left["_v"].to_numpy())
-        v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
-        sim = v @ m.T
-        most = min(int(left["_want"].max()), len(ids))
-        at = np.argsort(-sim, axis=1, kind="stable")[:, :most]
-        return pd.DataFrame({"_row": np.repeat(left["_row"].to_numpy(), most), "near": ids[at].ravel(), "sim": np.take_along_axis(sim, at, axis=1).ravel()})
-
-    spread = blocks.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_p", F.col("_p").cast("long"))
-    found = (met.groupBy("_b", "_p").cogroup(spread.groupBy("_b", "_p"))
-             .applyInPandas(nearest, "_row long, near long, sim double"))
+        m, ids = unit_rows([r["v"] for r in right["_m"].iloc[0]]), np.array([r["id"] for r in right["_m"].iloc[0]])
+        at, sim = best_of(unit_rows(left["_v"]) @ m.T, min(int(left["_want"].max()), len(ids)))
+        return pd.DataFrame({"_row": np.repeat(left["_row"].to_numpy(), at.shape[1]), "near": ids[at].ravel(), "sim": sim.ravel()})
+
+    found = met.groupBy("_b", "_p").cogroup(spread.groupBy("_b", "_p")).applyInPandas(nearest, "_row long, near long, sim double")
     if excluded is not None:
         found = found.join(rows.select("_row", group), "_row").join(barred, [group, "near"], "left_anti").select("_row", "near", "sim")
     order = Window.partitionBy("_row").orderBy(F.desc("sim"), "near")
     best = found.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).groupBy("_row").agg((1 - F.avg("sim")).alias("distance"))
-    none = F.lit(float("nan"))
-    return (rows.join(best, "_row", "left").withColumn("distance", F.coalesce("distance", none))
+    return (rows.join(best, "_row", "left").withColumn("distance", F.coalesce("distance", F.lit(none)))
             .select(*[c for c in x.columns if c != "embedding"], "distance"))
 
 
+def unit_rows(vectors) -> np.ndarray:
+    m = np.stack([np.asarray(v, float) for v in vectors])
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+
+
+def best_of(sim: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and values of the ``most`` largest of each row."""
+    at = np.argpartition(-sim, most - 1, axis=1)[:, :most]
+    return at, np.take_along_axis(sim, at, axis=1)
+
+
+def near_small(x: DataFrame, bank: DataFrame, k: int) -> DataFrame:
+    """``knn_distance`` against a bank of bounded size."""
+    held = [r["v"] for r in bank.select(F.col("embedding").cast("array<double>").alias("v")).collect()]  # at most ``SMALL_BANK`` numbers
+    shared = x.sparkSession.sparkContext.broadcast(unit_rows(held) if held else None)
+    kept = [c for c in x.columns if c != "embedding"]
+    schema = T.StructType([*[x.schema[c] for c in kept], T.StructField("distance", T.DoubleType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            m = shared.value
+            if m is None or not len(f):
+                yield f[kept].assign(distance=float("nan"))
+                continue
+            _, sim = best_of(unit_rows(f["embedding"]) @ m.T, min(k, len(m)))
+            yield f[kept].assign(distance=1 - sim.mean(axis=1))
+
+    return x.mapInPandas(run, schema).withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
+
+
 def auc(scores: DataFrame, value: str = "score", label: str = "positive") -> DataFrame:
     """Probability that a positive outranks a negative; equal scores count half.
 
