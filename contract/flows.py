@@ -111,9 +111,8 @@ def instruction_files(T):
     rows = c.select(F.col("conv_id").cast("string").alias("id"), F.transform("c", lambda x: F.struct(x["role"].alias("from"), x["value"].alias("value"))).alias("conversations"))
     rows.filter("CAST(id AS BIGINT) % 2 = 0").write.json(p + "/a")
     rows.filter("CAST(id AS BIGINT) % 2 = 1").write.json(p + "/b")
-    schema = files.INSTRUCTION
-    parts = [T.spark.read.schema(schema).json(f"{p}/{n}").withColumn("file_idx", F.lit(i)) for i, n in enumerate("ab")]
-    return files.turns_of(parts[0].unionByName(parts[1])).groupBy("conv_id", "file_idx").agg(F.count("*").alias("turns")).select("conv_id", F.col("file_idx").cast("long").alias("file_idx"), "turns")
+    samples = files.read_instruction_files(T.spark, [f"{p}/a", f"{p}/b"], lines=True)
+    return files.turns_of(samples).groupBy("conv_id", "file_idx").agg(F.count("*").alias("turns")).select("conv_id", F.col("file_idx").cast("long").alias("file_idx"), "turns")
 
 
 R.query("instruction_files", with_views("SELECT CAST(conv_id AS VARCHAR) AS conv_id, conv_id % 2 AS file_idx, count(*) AS turns FROM sft GROUP BY ALL", "sft"))(instruction_files)

@@ -125,9 +125,12 @@ def _ddl(schema: str) -> str:
 INSTRUCTION = "id string, image string, conversations array<struct<from:string,value:string>>"
 
 
-def read_instruction_files(spark: SparkSession, paths: list[str], schema: str = INSTRUCTION) -> DataFrame:
-    """Instruction samples of several JSON files, each with the index of its file."""
-    parts = [spark.read.schema(schema).option("multiLine", True).json(p).withColumn("file_idx", F.lit(i)) for i, p in enumerate(paths)]
+def read_instruction_files(spark: SparkSession, paths: list[str], schema: str = INSTRUCTION, lines: bool = False) -> DataFrame:
+    """Instruction samples of several JSON files or folders, each with the index of its file.
+
+    A file that is one JSON array is read by one task; with ``lines`` files hold a sample a line and are split.
+    """
+    parts = [spark.read.schema(schema).option("multiLine", not lines).json(p).withColumn("file_idx", F.lit(i)) for i, p in enumerate(paths)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -146,8 +149,8 @@ def flatten_pose_map(df: DataFrame) -> DataFrame:
 # ── tables and logs ──────────────────────────────────────────────────────────
 
 def write_clips(df: DataFrame, path: str) -> None:
-    """Clips by split and label; reading one of them touches only its folder."""
-    df.repartition("split", "label", F.pmod(F.xxhash64("clip_id"), F.lit(64))).write.mode("overwrite").partitionBy("split", "label").parquet(path)
+    """Clips by split and label; reading one of them touches only its folder. A large folder is written by as many tasks as it has shares of the rows."""
+    df.repartitionByRange("split", "label", "clip_id").write.mode("overwrite").partitionBy("split", "label").parquet(path)
 
 
 def read_clips(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
