@@ -8,8 +8,8 @@ classes with a common prefix. Depth adapts to the region: it starts at
 ``CROWD`` classes is cut again by longer prefixes.
 
 Links are confirmed on the full sets. A first round tests every class against the
-first of each of its regions; that joins up nearly all of a group with as many
-tests as it has members. The later rounds test the pairs of a region that lie in
+first of each of its regions in a few trees; that joins up nearly all of a group with a few
+tests for each member. In the other trees only what lies in another component is tested. The later rounds test the pairs of a region that lie in
 different components, so no group is ever expanded into all its pairs. In a crowded
 region of full depth the test is against its first and last class of another component. With 32 trees of
 4 values, a pair of similarity 0.8 has no common region with a chance of 5e-8.
@@ -43,6 +43,7 @@ DEPTHS = (8, 16, 32)
 CROWD = 16
 SLOTS = 1 << 20
 HOT = 1000
+FIRST = 4  # trees whose regions are joined up before the others are looked at
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -272,6 +273,11 @@ class Forest:
     def labelled(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
+    def between(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) whose ends lie in different components."""
+        of = lambda end: self.labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+
     def open_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs of a region in different components, by longer prefixes where a region is crowded."""
         rows = self.labelled(members.drop("rep"))
@@ -319,8 +325,10 @@ class Forest:
 
     def grow(self) -> "Forest":
         members = self.members()
-        stars = members.filter("id <> rep.id").select(F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
-        self.test(self.fits(stars))
+        stars = members.filter("id <> rep.id").select("tree", F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
+        self.test(self.fits(stars.filter(F.col("tree") < FIRST)))
+        # A group is joined up by now; its members meet the first of their other regions only if that lies in another component.
+        self.test(self.fits(self.between(stars.filter(F.col("tree") >= FIRST))))
         while True:
             pairs = materialise(self.open_pairs(members).join(self.tested, ["a", "b"], "left_anti"), "more")
             if pairs.isEmpty():
