@@ -82,8 +82,10 @@ def test_streaming_cooldown_equals_batch(spark, tmp_path):
     # Files in time order, as a feed delivers them.
     for part in range(4):
         ev.filter((F.col("t") >= 1000 + part * 26) & (F.col("t") < 1026 + part * 26)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    later = ev.limit(1).withColumn("source", F.lit(999).cast("long")).withColumn("event_ts", F.timestamp_seconds(F.lit(9999)))  # lets the watermark pass
+    later.write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("event_ts", "5 seconds")
-    got = {r.event_id for r in run(spark, live.cooldown_stream(s, 12.0), tmp_path).collect()}
+    got = {r.event_id for r in run(spark, live.cooldown_stream(s, 12.0), tmp_path).filter("source < 999").collect()}
     want = {r.event_id for r in inc.min_gap(ev, ["source", "cooldown_key"], "t", 12.0, "event_id").collect()}
     assert got == want
 
