@@ -54,12 +54,12 @@ class Settings:
     leaf: int = 512
     first: int = 16  # neighbours from one leaf
     offers: int = 12  # what one node's comparison offers each row
-    steps: int = 20
-    settled: float = 0.005  # share of links that change in the last step
+    steps: int = 6
+    settled: float = 0.01  # share of links that change in the last step
     beam: int = 128
     widest: int = 1024
     entries: int = 8  # nodes of largest norm at which every search starts too
-    probes: int = 200
+    probes: int = 100
     recall: float = 0.97
 
 
