@@ -248,3 +248,4 @@ def test_spectra_follow_rank_one_updates(d):
 
 def test_every_oracle_is_sql_of_a_registered_query():
     assert all(isinstance(sql, str) for sql in ORACLES.values()) and set(ORACLES) <= set(QUERIES)
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14))
