@@ -24,3 +24,9 @@ def test_weighted_draws_meet_their_rows_in_spread_partitions(spread):
     used = [(i, w) for i, w in items if w]
     ends = list(accumulate(w for _, w in used))
     assert sorted((r.draw_no, r.item_id) for r in got.collect()) == [(d, used[bisect_right(ends, u * ends[-1])][0]) for d, u in draws]
+
+
+def test_shares_may_be_left_unrounded(spark):
+    px = spark.range(30001).select(F.lit(1).alias("object_id"), F.lit(0).alias("band"), F.lit(0).alias("h"), F.when(F.col("id") < 10000, 0).otherwise(255).alias("s"), F.lit(255).alias("v"))
+    exact, rounded = (frames.banded_signature(px, digits=d).first()["signature"] for d in (None, 6))
+    assert exact[16] == 10000 / 30001 and rounded[16] == round(10000 / 30001, 6) != exact[16]
