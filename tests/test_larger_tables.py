@@ -30,3 +30,12 @@ def test_shares_may_be_left_unrounded(spark):
     px = spark.range(30001).select(F.lit(1).alias("object_id"), F.lit(0).alias("band"), F.lit(0).alias("h"), F.when(F.col("id") < 10000, 0).otherwise(255).alias("s"), F.lit(255).alias("v"))
     exact, rounded = (frames.banded_signature(px, digits=d).first()["signature"] for d in (None, 6))
     assert exact[16] == 10000 / 30001 and rounded[16] == round(10000 / 30001, 6) != exact[16]
+
+
+def test_outbox_counts_equal_the_rows_of_the_outbox(spark):
+    alerts = spark.createDataFrame([(i, a, s) for i, (a, s) in enumerate([(x, y) for x in ("Gate", "yard", None) for y in ("critical", "low", None)] * 3)], "event_id long, area string, severity string")
+    rec = spark.createDataFrame([("a", ["gate"], "low", "a@x", "+1"), ("b", ["all"], "high", "", "07"), ("c", [], "medium", "c@x", ""), ("d", ["yard", "gate"], None, "", "")],
+                                "recipient string, areas array<string>, min_severity string, email string, whatsapp string")
+    rows = routing.outbox(routing.route_alerts(alerts, rec).select("event_id", "recipient"), rec).groupBy("recipient", "channel", "status").agg(F.count("*").alias("n"))
+    got = routing.outbox_counts(alerts, rec)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())) and got.count() == 4
