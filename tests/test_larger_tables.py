@@ -1,11 +1,13 @@
 """Cases that only showed on larger tables."""
+import math
+import random
 from bisect import bisect_right
 from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from framelore.operators import datasets as ds, frames, routing
+from framelore.operators import datasets as ds, frames, identity, routing
 
 
 @pytest.fixture
@@ -39,3 +41,29 @@ def test_outbox_counts_equal_the_rows_of_the_outbox(spark):
     rows = routing.outbox(routing.route_alerts(alerts, rec).select("event_id", "recipient"), rec).groupBy("recipient", "channel", "status").agg(F.count("*").alias("n"))
     got = routing.outbox_counts(alerts, rec)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())) and got.count() == 4
+
+
+def test_pairs_of_any_blocks_score_as_one_plain_pass(spark):
+    rng, sizes = random.Random(2), [16, 8, 8] * 2
+    sign = lambda: [round(x / sum(v), 6) for v in ([rng.random() for _ in range(n)] for n in sizes) for x in v]
+    row = lambda i: (i, "vehicle" if i % 3 else "person", ["person", "car", "Truck"][i % 3], sign() if i % 11 else None, (1 + i % 5) / 3)
+    s, e = [row(i) for i in range(0, 30)], [row(i) for i in range(30, 70)]
+
+    def plain(a, b):
+        if a[3] is None or b[3] is None:
+            return 0.0
+        num, at = 0.0, 0
+        for n, w in zip(sizes, [2.0, 1.0, 0.5] * 2):
+            block = 0.0
+            for x, y in zip(a[3][at:at + n], b[3][at:at + n]):
+                block += min(x, y)
+            num, at = num + w * block, at + n
+        steps = num / 7.0 * 10000
+        return (math.floor(steps) + (steps - math.floor(steps) >= 0.5)) / 10000 * (0.80 + 0.20 * min(a[4], b[4]) / max(a[4], b[4])) * (1.0 if a[2] == b[2] else 0.85)
+
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, kind string, cls string, signature array<double>, aspect double")
+    left, right = frame(s, "sighting_id"), frame(e, "entity_id")
+    want = {(a[0], b[0]): plain(a, b) for a in s for b in e if a[1] == b[1]}
+    assert {(r.sighting_id, r.entity_id): r.similarity for r in identity.scored_pairs(left, right, 2, side=7).collect()} == want
+    best = {r.sighting_id: (r.entity_id, r.score) for r in identity.best_match(left, right, 2).collect()}
+    assert best == {i: min(((b, v) for (a, b), v in want.items() if a == i and v > 0), key=lambda m: (-m[1], m[0])) for i in range(30) if s[i][3]}
