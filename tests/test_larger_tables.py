@@ -7,7 +7,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from framelore.operators import datasets as ds, frames, identity, routing
+from framelore.operators import datasets as ds, frames, identity, routing, slices
 
 
 @pytest.fixture
@@ -67,3 +67,17 @@ def test_pairs_of_any_blocks_score_as_one_plain_pass(spark):
     assert {(r.sighting_id, r.entity_id): r.similarity for r in identity.scored_pairs(left, right, 2, side=7).collect()} == want
     best = {r.sighting_id: (r.entity_id, r.score) for r in identity.best_match(left, right, 2).collect()}
     assert best == {i: min(((b, v) for (a, b), v in want.items() if a == i and v > 0), key=lambda m: (-m[1], m[0])) for i in range(30) if s[i][3]}
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_a_crowded_key_is_dealt_over_tasks(spark, how):
+    rng = random.Random(9)
+    x, y = ([(i, None if i % 17 == 0 else "hot" if i % 5 else f"k{i % 3}", rng.randrange(50)) for i in range(n)] for n in (230, 170))
+    left, right = spark.createDataFrame(x, "i long, k string, v int"), spark.createDataFrame(y, "j long, k string, w int")
+    got = slices.dealt_join(left, right, ["k"], F.col("v") < F.col("w"), how, ["i", "j"] if how == "inner" else ["i"], share=40)
+    pairs = [(a, b) for a, k, v in x for b, l, w in y if k is not None and k == l and v < w]
+    if how == "inner":
+        assert sorted((r.i, r.j) for r in got.collect()) == sorted(pairs)
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4   # one task before, where merged
+    else:
+        assert {r.i for r in got.collect()} == {a for a, _ in pairs}
