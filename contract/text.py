@@ -1,5 +1,4 @@
 """Queries over captions, answers and conversations."""
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -148,8 +147,7 @@ def turn_sql(t: ins.Template) -> str:
 ONES = ", ".join(f"(SELECT string_agg({turn_sql(t)}, '' ORDER BY pos) FROM good g WHERE g.conv_id = c.conv_id) AS b{i}" for i, t in enumerate(TEMPLATES.values()))
 HEADS = " UNION ALL ".join(f"SELECT conv_id, '{k}' AS style, {LIT(ins.head_text(t)) if ins.head_text(t) else chr(39) * 2} || b{i} AS prompt FROM r" for i, (k, t) in enumerate(TEMPLATES.items()))
 R.query("render_prompt", with_views("WITH " + CLEAN + f", r AS (SELECT conv_id, {ONES} FROM (SELECT DISTINCT conv_id FROM good) c) {HEADS}", "sft"))(
-    lambda T: reduce(lambda a, b: a.unionByName(b), [
-        ins.render_prompt(ins.clean_turns(T.sft)[0], t).select("conv_id", F.lit(k).alias("style"), "prompt") for k, t in TEMPLATES.items()]))
+    lambda T: ins.render_prompts(ins.clean_turns(T.sft)[0], TEMPLATES))
 LEAD = len(ins.head_text(QWEN))
 R.query("target_spans", with_views("WITH " + CLEAN + f""",
 p AS (SELECT conv_id, pos, role, length({turn_sql(QWEN)}) AS n FROM good),

@@ -89,8 +89,17 @@ def head_text(t: Template) -> str:
 
 def render_prompt(turns: DataFrame, t: Template) -> DataFrame:
     """One prompt per conversation. A conversation is one sample and fits in a row."""
-    parts = turns.withColumn("_t", turn_text(t)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_t"))).alias("p"))
-    return parts.select("conv_id", F.concat(F.lit(head_text(t)), F.array_join(F.transform("p", lambda x: x["_t"]), "")).alias("prompt"))
+    return render_prompts(turns, {t.style: t}).drop("style")
+
+
+def render_prompts(turns: DataFrame, templates: dict[str, Template]) -> DataFrame:
+    """One prompt per conversation and template (``style``: its name), from one pass over the turns."""
+    texts = [turn_text(t).alias(f"t{i}") for i, t in enumerate(templates.values())]
+    parts = turns.select("conv_id", "pos", *texts).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", *[f"t{i}" for i in range(len(texts))]))).alias("p"))
+    whole = lambda i, t: F.concat(F.lit(head_text(t)), F.array_join(F.transform("p", lambda x: x[f"t{i}"]), ""))
+    prompts = [F.struct(F.lit(k).alias("style"), whole(i, t).alias("prompt")) for i, (k, t) in enumerate(templates.items())]
+    return parts.select("conv_id", F.explode(F.array(*prompts)).alias("r")).select("conv_id", "r.style", "r.prompt")
 
 
 def n_words(text: Column) -> Column:

@@ -7,7 +7,7 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from framelore.operators import datasets as ds, frames, identity, routing, slices
+from framelore.operators import datasets as ds, frames, identity, instruct, routing, slices
 
 
 @pytest.fixture
@@ -81,3 +81,14 @@ def test_a_crowded_key_is_dealt_over_tasks(spark, how):
         assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 4   # one task before, where merged
     else:
         assert {r.i for r in got.collect()} == {a for a, _ in pairs}
+
+
+def test_prompts_of_all_templates_come_from_one_pass(spark, tmp_path):
+    turns = spark.createDataFrame([(c, p, "human" if p % 2 == 0 else "gpt", f"v{c}.{p}") for c in range(5) for p in range(4)], "conv_id long, pos long, role string, value string")
+    styles = {"a": instruct.Template("single", "Sys."), "b": instruct.Template("two", "S", sep=" ", sep2="</s>"), "c": instruct.Template("llama_2", "Be kind.", sep="<s>", sep2="</s>")}
+    turns.write.parquet(str(tmp_path / "turns"))
+    got = instruct.render_prompts(spark.read.parquet(str(tmp_path / "turns")), styles)
+    want = {(r.conv_id, k): r.prompt for k, t in styles.items() for r in instruct.render_prompt(turns, t).collect()}
+    assert {(r.conv_id, r.style): r.prompt for r in got.collect()} == want and len(want) == 15
+    assert want[1, "b"] == "S USER: v1.0 ASSISTANT: v1.1</s>USER: v1.2 ASSISTANT: v1.3</s>"
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1   # one scan a template before
