@@ -4,10 +4,11 @@ import random
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelore.operators import datasets as ds, frames, identity, instruct, routing, slices
+from framelore.operators import datasets as ds, frames, identity, instruct, metrics, routing, slices
 
 
 @pytest.fixture
@@ -92,3 +93,27 @@ def test_prompts_of_all_templates_come_from_one_pass(spark, tmp_path):
     assert {(r.conv_id, r.style): r.prompt for r in got.collect()} == want and len(want) == 15
     assert want[1, "b"] == "S USER: v1.0 ASSISTANT: v1.1</s>USER: v1.2 ASSISTANT: v1.3</s>"
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1   # one scan a template before
+
+
+def test_span_scores_reads_its_distances_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame([(i % 4, i % 4 < 2, i / 100) for i in range(80)], "span_id long, incident boolean, distance double")
+    got = {r.span_id: (r.windows, r.max) for r in metrics.span_scores(rows.mapInPandas(count, rows.schema)).collect()}
+    assert got == {k: (20, (76 + k) / 100) for k in range(4)} and seen.value == 80
+
+
+def test_neighbours_in_strips_equal_a_plain_pass(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v, b = rng.normal(size=(50, 6)), rng.normal(size=(90, 6))
+    monkeypatch.setattr(metrics, "SMALL_BANK", 0)
+    monkeypatch.setattr(metrics, "STRIP", 100)
+    frame = lambda m: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.distance for r in metrics.knn_distance(frame(v), frame(b), k=5, block=40).collect()}
+    unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
+    assert [got[i] for i in range(50)] == pytest.approx((1 - np.sort(unit(v) @ unit(b).T, axis=1)[:, -5:].mean(axis=1)).tolist(), abs=1e-12)
