@@ -8,8 +8,9 @@ classes with a common prefix. Depth adapts to the region: it starts at
 ``CROWD`` classes is cut again by longer prefixes.
 
 Links are confirmed on the full sets. A first round tests every class against the
-first of each of its regions in a few trees; that joins up nearly all of a group with a few
-tests for each member. In the other trees only what lies in another component is tested. The later rounds test the pairs of a region that lie in
+first of its region in one tree; that joins up most of a group with one test for each member.
+In the next trees, and then in all others, only what lies in another component is tested. Components
+are kept between rounds, and new links join their names. The later rounds test the pairs of a region that lie in
 different components, so no group is ever expanded into all its pairs. In a crowded
 region of full depth the test is against its first and last class of another component. With 32 trees of
 4 values, a pair of similarity 0.8 has no common region with a chance of 5e-8.
@@ -43,7 +44,7 @@ DEPTHS = (8, 16, 32)
 CROWD = 16
 SLOTS = 1 << 20
 HOT = 1000
-FIRST = 4  # trees whose regions are joined up before the others are looked at
+FIRST = (1, 4)  # trees whose regions are joined up before those after them are looked at
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -209,17 +210,40 @@ def heads(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each end of a link reaches. Smallest labels spread, and labels jump to their label's label."""
-    both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("m")), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-        spread = materialise(labels.join(near, "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("was")), "labels")
-        jump = spread.select(F.col("node").alias("label"), F.col("label").alias("m"))
-        after = materialise(spread.join(jump, "label").select("node", F.col("m").alias("label"), "was"), "labels")
-        if after.filter("label <> was").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+    """(node, label): the smallest node that each end of a link reaches.
+
+    Every node points at its smallest neighbour below it, pointers jump to their ends, and links are
+    drawn again between these ends until none is left. Two rounds at least halve the nodes that have links.
+    """
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = materialise(links.select(*ends).distinct(), "links")
+    labels = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
+    edges = edges.filter("a <> b")
+    while not edges.isEmpty():
+        roots = materialise(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "roots")
+        while True:
+            jump = roots.select(F.col("node").alias("label"), F.col("label").alias("m"))
+            roots = materialise(roots.select("node", "label").join(jump, "label", "left").select("node", F.coalesce("m", "label").alias("label"), F.col("m").isNotNull().alias("moved")), "roots")
+            if roots.filter("moved").isEmpty():
+                break
+        labels = materialise(renamed(labels, roots), "labels")
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        drawn = edges.join(of("b"), "b").join(of("a"), "a", "left").select(F.coalesce("la", "a").alias("a"), F.col("lb").alias("b")).filter("a <> b")
+        edges = materialise(drawn.select(*ends).distinct(), "links")
+    return labels
+
+
+def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """``labels`` with those that are a node of ``names`` replaced by its label."""
+    new = names.select(F.col("node").alias("label"), F.col("label").alias("m"))
+    return labels.join(new, "label", "left").select("node", F.coalesce("m", "label").alias("label"))
+
+
+def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links (la, lb) between components: only the names of what they join are looked at again."""
+    found = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    alone = found.join(labels.select("node"), "node", "left_anti")  # had no link before
+    return materialise(renamed(labels, found).unionByName(alone), "labels")
 
 
 class Forest:
@@ -268,15 +292,16 @@ class Forest:
         links = materialise(count_common(joined).filter(F.col("common") * 100 >= F.col("n_all") * self.percent).select("a", "b", "common", "n_all"), "links")
         self.links = links if self.links is None else self.links.unionByName(links)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        self.labels = components(self.links)
+        self.labels = components(links) if self.labels is None else joined_up(self.labels, self.between(links))
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     def between(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) whose ends lie in different components."""
+        """Pairs (a, b, ...) whose ends lie in different components, and these components (la, lb)."""
         of = lambda end: self.labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+        met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b"))
+        return met.filter("la <> lb")
 
     def open_pairs(self, members: DataFrame) -> DataFrame:
         """Pairs of a region in different components, by longer prefixes where a region is crowded."""
@@ -326,9 +351,10 @@ class Forest:
     def grow(self) -> "Forest":
         members = self.members()
         stars = members.filter("id <> rep.id").select("tree", F.col("rep.id").alias("a"), F.col("id").alias("b"), F.col("rep.n").alias("na"), F.col("n").alias("nb"))
-        self.test(self.fits(stars.filter(F.col("tree") < FIRST)))
-        # A group is joined up by now; its members meet the first of their other regions only if that lies in another component.
-        self.test(self.fits(self.between(stars.filter(F.col("tree") >= FIRST))))
+        self.test(self.fits(stars.filter(F.col("tree") < FIRST[0])))
+        # A group is nearly joined up by now; its members meet the first of their other regions only if that lies in another component.
+        for low, high in zip(FIRST, [*FIRST[1:], TREES]):
+            self.test(self.fits(self.between(stars.filter((F.col("tree") >= low) & (F.col("tree") < high)))))
         while True:
             pairs = materialise(self.open_pairs(members).join(self.tested, ["a", "b"], "left_anti"), "more")
             if pairs.isEmpty():

@@ -127,6 +127,17 @@ def test_near_copies_in_a_crowded_template(spark):
     assert got == {d: names[r] for (d, _), r in zip(rows, roots)}
 
 
+def test_links_of_a_group_are_looked_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"g{k}" for k in range(200)]
+    rows = [(d, " ".join(base[:k] + [f"own{d}"] + base[k + 1:])) for d, k in enumerate(rng.randrange(200) for _ in range(300))]
+    looked, plain = [], lshforest.components
+    monkeypatch.setattr(lshforest, "components", lambda links: looked.append(links.count()) or plain(links))
+    got = lshforest.near_duplicates(frame(spark, rows), width=4).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 300
+    assert sum(looked) < 2 * len(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 8), (300, 200), (200, 250)]
     got = {r["node"]: r["label"] for r in lshforest.components(spark.createDataFrame(links, "a long, b long")).collect()}
