@@ -360,3 +360,20 @@ def test_near_stage_keeps_one_of_equal_rows(spark):
         sets, roots = brute_components(rows, 5, 80)
         groups = {r if s else ("alone", i) for i, (s, r) in enumerate(zip(sets, roots))}
         assert len(got) == len(groups) and set(got) <= set(rows)
+
+
+def test_beams_that_are_over_leave_the_search(spark, monkeypatch):
+    m = np.random.default_rng(4).standard_normal((400, 24))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    graph = nndescent.Graph(table, settings=nndescent.Settings(width=8, trees=2, leaf=128, first=6, steps=2))
+    starts = graph.nodes.select(F.col("node").alias("q"), nndescent.packed(None)("vec").alias("qv"))
+    plain, rounds = nndescent.write, []
+
+    def write(df, name):
+        done = plain(df, name)
+        rounds.append(done.select("q").distinct().count())
+        return done
+    monkeypatch.setattr(nndescent, "write", write)
+    beams = graph._walk(starts, 24).toPandas()
+    assert rounds[0] == 400 and rounds[-1] < 400
+    assert beams.q.nunique() == 400 and beams.done.all() and not beams.duplicated(["q", "node"]).any() and beams.groupby("q").size().max() <= 24
