@@ -35,6 +35,18 @@ def test_shares_may_be_left_unrounded(spark):
     assert exact[16] == 10000 / 30001 and rounded[16] == round(10000 / 30001, 6) != exact[16]
 
 
+def test_routes_of_one_area_are_dealt_over_tasks_and_come_in_runs(spark):
+    alerts = spark.range(0, 20000, 1, 1).select(F.col("id").alias("event_id"), F.lit("Gate").alias("area"), F.lit("high").alias("severity"))
+    i = F.col("id")
+    rec = spark.range(0, 33, 1, 1).select(F.when(i < 32, i).alias("recipient"), F.array(F.when(i == 30, "yard").when(i >= 31, "").when(i % 2 == 1, "all").otherwise("gate")).alias("areas"),
+                                          F.when(i < 31, "low").when(i == 31, "critical").alias("min_severity"))
+    got = routing.route_alerts(alerts, rec).select("event_id", "recipient", F.spark_partition_id().alias("task")).toPandas()
+    assert len(got) == 20000 * 31 and not got.duplicated(["event_id", "recipient"]).any()
+    assert set(got["recipient"].dropna()) == set(range(30)) and got["recipient"].isna().sum() == 20000
+    assert got["task"].value_counts().iloc[0] < len(got) / 2
+    assert (got["recipient"].fillna(-1).diff() != 0).sum() < len(got) / 100
+
+
 def test_outbox_counts_equal_the_rows_of_the_outbox(spark):
     alerts = spark.createDataFrame([(i, a, s) for i, (a, s) in enumerate([(x, y) for x in ("Gate", "yard", None) for y in ("critical", "low", None)] * 3)], "event_id long, area string, severity string")
     rec = spark.createDataFrame([("a", ["gate"], "low", "a@x", "+1"), ("b", ["all"], "high", "", "07"), ("c", [], "medium", "c@x", ""), ("d", ["yard", "gate"], None, "", "")],
