@@ -72,6 +72,42 @@ def test_resolution_equals_one_sequential_pass_in_chunks_of_any_size(spark):
         assert reg.count() == len(set(want.values()))
 
 
+def test_resolution_goes_on_where_the_closest_entities_have_all_changed(spark, monkeypatch):
+    rng, rows = random.Random(8), []
+    for i in range(90):
+        sig = []
+        for _ in range(3):
+            for n in (16, 8, 8):
+                v = [0.0] * n
+                v[rng.randrange(2)] += 0.6
+                v[rng.randrange(4)] += 0.4
+                sig += v if rng.random() > 0.05 else [0.0] * n
+        cls = rng.choice(["car", "bus", "person"])
+        rows.append((i, "person" if cls == "person" else "vehicle", cls, sig, rng.choice([0.5, 1.0, 1.5])))
+    frame = lambda part: spark.createDataFrame([(i, float(i), k, c, c, s, a) for i, k, c, s, a in part],
+                                               "sighting_id long, t double, kind string, cls string, label string, signature array<double>, aspect double")
+    for threshold in (0.62, 0.8):
+        want = sequential(rows, threshold)
+        for kept, chunk in ((1, 12), (2, 40)):
+            monkeypatch.setattr(idn, "KEPT", kept)
+            links, reg = idn.resolve_entities(frame(rows), threshold=threshold, chunk=chunk)
+            assert {r.sighting_id: r.entity_id for r in links.collect()} == want and links.count() == 90
+            assert reg.count() == reg.select("entity_id").distinct().count() == len(set(want.values()))
+
+
+def test_ties_go_to_the_remembered_entity_in_chunks_of_any_size(spark):
+    sig = ([0.5, 0.5] + [0.0] * 14 + ([1.0] + [0.0] * 7) * 2) * 3
+    reg = spark.createDataFrame([(f"old_{i}", "vehicle", f"kind{i}", "x", sig, 1.0, 1) for i in range(8)], "entity_id string, kind string, cls string, label string, signature array<double>, aspect double, samples int")
+    # 0.85 by the first's shape: a new one; then 0.9 by the shapes of both.
+    df = spark.createDataFrame([(10 * i + n, float(n), "vehicle", f"kind{i}", "x", sig, a) for i in range(8) for n, a in enumerate([0.25, 0.5])],
+                               "sighting_id long, t double, kind string, cls string, label string, signature array<double>, aspect double")
+    for chunk in (1, 10):
+        links, after = idn.resolve_entities(df, reg, threshold=0.88, chunk=chunk)
+        got = {r.sighting_id: (r.entity_id, r.similarity, r.is_new) for r in links.collect()}
+        assert got == {10 * i: (f"veh_{10 * i}", 1.0, True) for i in range(8)} | {10 * i + 1: (f"old_{i}", 0.9, False) for i in range(8)}
+        assert sorted((r.entity_id, r.samples) for r in after.collect()) == sorted([(f"old_{i}", 2) for i in range(8)] + [(f"veh_{10 * i}", 1) for i in range(8)])
+
+
 def test_forget_and_routing(spark):
     e = spark.createDataFrame([("a",), ("b",)], "entity_id string")
     assert [r.entity_id for r in idn.forget(e, spark.createDataFrame([("a",)], "entity_id string")).collect()] == ["b"]
