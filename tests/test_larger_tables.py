@@ -82,6 +82,19 @@ def test_pairs_of_any_blocks_score_as_one_plain_pass(spark):
     assert best == {i: min(((b, v) for (a, b), v in want.items() if a == i and v > 0), key=lambda m: (-m[1], m[0])) for i in range(30) if s[i][3]}
 
 
+def test_pairs_of_blocks_copy_few_rows_and_come_in_runs(spark):
+    # 2,000 rows a block: 13 and 154 copies of each row of tables like these.
+    for n, most in ((25_000, 6), (300_000, 8)):
+        of_left, of_right = identity._dealt(n, n, 32)
+        assert of_left * of_right >= 30 and max(of_left, of_right) <= most and n / min(of_left, of_right) <= identity.WIDE * 1.6
+    assert identity._dealt(0, 0, 32) == (1, 1) and identity._dealt(1_000_000, 50, 32)[1] == 1
+    make = lambda n, key: spark.range(0, n, 1, 1).select(F.col("id").alias(key), F.lit("vehicle").alias("kind"), F.lit("car").alias("cls"), F.array_repeat(F.lit(0.25), 64).alias("signature"), F.lit(1.0).alias("aspect"))
+    got = identity.scored_pairs(make(12, "sighting_id"), make(1300, "entity_id"), 2).toPandas()
+    assert len(got) == 12 * 1300 and not got.duplicated(["sighting_id", "entity_id"]).any()
+    runs = got["entity_id"].to_numpy()[:12 * identity.RUN].reshape(12, identity.RUN)
+    assert (runs == runs[0]).all() and (got["sighting_id"].to_numpy()[:12 * identity.RUN].reshape(12, -1).std(axis=1) == 0).all()
+
+
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
 def test_a_crowded_key_is_dealt_over_tasks(spark, how):
     rng = random.Random(9)
